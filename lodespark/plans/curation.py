@@ -22,9 +22,9 @@ QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
 
 SQL = {
     "p5_found": r"""
-WITH w AS (SELECT hash, list_filter(regexp_split_to_array(lower(any_value(doc)), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+WITH w AS (SELECT hash, list_filter(regexp_split_to_array(lower(any_value(doc)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
            FROM content WHERE doc IS NOT NULL GROUP BY hash),
-s AS (SELECT DISTINCT hash, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+s AS (SELECT DISTINCT hash, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
 n AS (SELECT hash, count(*) AS n FROM s GROUP BY hash),
 c AS (SELECT a.hash AS hash_a, b.hash AS hash_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.hash < b.hash GROUP BY 1, 2)
 SELECT hash_a, hash_b FROM c JOIN n x ON x.hash = hash_a JOIN n y ON y.hash = hash_b WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9
