@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodespark.llm.leaks import leaked_items
 from lodespark.llm.mixing import distinct_texts, mix_sources, source_name
 from lodespark.llm.pairs import defective_pairs
+from lodespark.llm.pii import find_pii, redact_pii
 from lodespark.session import table
 
 
@@ -46,6 +47,15 @@ def p7_available(spark: SparkSession, d: str) -> DataFrame:
     return distinct_texts(table(spark, d, "documents"), goals).groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("tokens").alias("tokens"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_pii(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return redact_pii(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_summary": p1_summary,
@@ -54,6 +64,8 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p7_available": p7_available,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 SQL = {
