@@ -144,9 +144,9 @@ def search(docs: DataFrame, queries: list[tuple[str, str]], limit: int | None =
     n_rows = Window.partitionBy("query_id", "clause")
     tf = tf.withColumn("n", F.count(F.lit(1)).over(n_rows))
     size = row_lengths(docs)
-    total = size.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avglen"))
+    total = size.agg(F.count(F.lit(1)).alias("n_total"), F.avg("len").alias("avglen"))
     rows = tf.join(size, "file").crossJoin(F.broadcast(total))  # one row
-    idf = F.greatest(F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    idf = F.greatest(F.log((F.col("n_total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
     scored = rows.groupBy("query_id", "file").agg(
         F.sum(F.when(~F.col("negative"), part).otherwise(0.0)).alias("bm25"), F.sum((~F.col("negative")).cast("int")).alias("have"), F.max(F.col("negative")).alias("excluded")
