@@ -17,8 +17,9 @@ _SALTS = 16
 
 
 def normalised(text: Column) -> Column:
-    """Letters and digits only, without case."""
-    return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]+", "")
+    """Letters and digits only, without case; ``ß`` counts as ``ss``, and a final sigma as any other."""
+    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+    return F.translate(F.replace(bare, F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def query_fields(query: Column) -> Column:
