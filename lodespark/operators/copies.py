@@ -60,10 +60,11 @@ def formatting_copies(records: DataFrame, key: str, query: str, version: str) ->
     rows = rows.groupBy("key").agg(F.max(F.struct("v", "q")).alias("x")).select("key", F.col("x.q").alias("q"))
     known = rows.filter("q is not null").select("key", query_fields(F.col("q")).alias("fields"))
     known = known.select("key", "fields", _fingerprint(F.col("fields")).alias("fp"))
-    groups = known.groupBy("fp").agg(F.min(F.struct("key", "fields")).alias("first"), F.count(F.lit(1)).alias("c"))
-    # A hot group's members are spread by salt; its one row is repeated for each salt.
+    groups = known.groupBy("fp").agg(F.min(F.struct("key", "fields")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # A hot group's members are spread by salt; its one row is repeated for each salt. Most queries are in no group.
     groups = groups.select("fp", "first", "c", F.explode(F.array([F.lit(i) for i in range(_SALTS)])).alias("salt"))
-    member = known.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")).join(groups, ["fp", "salt"])
+    every = known.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")).join(groups, ["fp", "salt"], "left")
+    member = every.filter("c is not null")
     judged = member.withColumn("same", _same_fields(F.col("fields"), F.col("first.fields")))
     odd = judged.filter("not same").select("key", F.concat_ws("\n", F.array_sort(F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["value"])))).alias("exact"))
     odd_groups = odd.groupBy("exact").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n_copies"))
@@ -71,6 +72,7 @@ def formatting_copies(records: DataFrame, key: str, query: str, version: str) ->
     plain = judged.filter("same").join(lost, "fp", "left")
     return (
         plain.select("key", F.col("first.key").alias("first_key"), (F.col("c") - F.coalesce("lost", F.lit(0))).alias("n_copies"))
+        .unionByName(every.filter("c is null").select("key", F.col("key").alias("first_key"), F.lit(1).cast("long").alias("n_copies")))
         .unionByName(odd.join(odd_groups, "exact").select("key", "first_key", "n_copies"))
         .unionByName(rows.filter("q is null").select("key", F.col("key").alias("first_key"), F.lit(1).cast("long").alias("n_copies")))
     )
