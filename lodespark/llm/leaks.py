@@ -37,8 +37,8 @@ def window_fingerprints(flat: np.ndarray, window: int) -> np.ndarray:
     n = len(flat) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    # A lane's count c is at least half of the window iff c + add reaches 8.
-    add = np.uint64(0x1111111111111111) * np.uint64(8 - (window + 1) // 2) if window <= 8 else np.uint64(0x1111111111111111) * np.uint64(max(0, 8 - (window + 2) // 2))
+    # A lane's count is more than half of the window iff the count and ``add`` reach 8.
+    add = np.uint64(0x1111111111111111) * np.uint64(8 - (window + 2) // 2)
     top = np.uint64(0x8888888888888888)
     out = np.zeros(n, np.uint64)
     for p, lane in enumerate(_lanes(flat)):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -388,6 +389,11 @@ def _run(model: Model, given: list[str], replace: bool):
     return run
 
 
+@lru_cache(maxsize=4)
+def _model(given: tuple[str, ...]) -> Model:
+    return train(list(given))
+
+
 def _tagged(docs: DataFrame, given_names: DataFrame, key: str, text: str, replace: bool) -> DataFrame:
     given = [r[0] for r in given_names.select("given_name").filter("given_name is not null").distinct().limit(_GAZETTEER_ROWS + 1).collect()]
     if len(given) > _GAZETTEER_ROWS:
@@ -396,7 +402,7 @@ def _tagged(docs: DataFrame, given_names: DataFrame, key: str, text: str, replac
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if not replace:
         rows = rows.filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(_run(train(given), given, replace), "doc_id long, redacted string, found array<struct<pii_kind string, pii_text string>>")
+    return rows.mapInArrow(_run(_model(tuple(given)), given, replace), "doc_id long, redacted string, found array<struct<pii_kind string, pii_text string>>")
 
 
 def find_pii(docs: DataFrame, given_names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
