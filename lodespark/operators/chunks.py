@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespark.session import spread
+
 MAX_CHARS, OVERLAP, WINDOW, DECAY = 3600, 540, 800, 0.7
 
 # Break points and their scores.
@@ -131,7 +133,7 @@ def chunk_documents(docs: DataFrame, key: str, text: str, by_tokens: bool = Fals
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
     rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("text is not null")
-    return rows.mapInArrow(run, "key string, seq int, pos int, chunk string, n_tokens int")
+    return spread(rows, "key").mapInArrow(run, "key string, seq int, pos int, chunk string, n_tokens int")
 
 
 def best_chunk(chunks: DataFrame, terms: list[str], intent_terms: list[str] | None = None) -> DataFrame:

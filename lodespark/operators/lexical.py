@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.functions.stem import stem, stemmed
+from lodespark.session import spread
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
@@ -91,33 +92,39 @@ def fold(text: Column) -> Column:
 
 def terms_of(text: Column) -> Column:
     """Runs of letters and digits of a folded text."""
-    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def row_lengths(docs: DataFrame) -> DataFrame:
-    """``file, len``: tokens in the three columns of each row."""
-    return docs.select("file", sum((F.size(terms_of(F.col(c))) for c in WEIGHTS), F.lit(0)).alias("len"))
+def _term_rows(docs: DataFrame, stems: bool) -> DataFrame:
+    """``file, len`` and the terms of the three columns as ``cols``: an array of ``col, weight, terms``."""
+    own = {c: stemmed(terms_of(F.col(c))) if stems else terms_of(F.col(c)) for c in WEIGHTS}
+    rows = docs.select("file", *[x.alias(c) for c, x in own.items()])
+    cols = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(w).alias("weight"), F.col(c).alias("terms")) for c, w in WEIGHTS.items()])
+    return rows.select("file", sum((F.size(c) for c in WEIGHTS), F.lit(0)).alias("len"), cols.alias("cols"))
 
 
 def postings(docs: DataFrame, stems: bool = False) -> DataFrame:
-    """``file, col, pos, term`` from ``docs(file, filepath, title, body)``. Write it partitioned by a hash of the term to serve many searches."""
-    parts = None
-    for c in WEIGHTS:
-        terms = terms_of(F.col(c))
-        part = docs.select("file", F.lit(c).alias("col"), F.posexplode(stemmed(terms) if stems else terms).alias("pos", "term"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
-def clause_table(spark, queries: list[tuple[str, str]], stems: bool = False) -> DataFrame:
-    """``query_id, clause, negative, prefix, size, offset, want`` of all queries."""
-    rows = []
+    """``file, len, col, weight, pos, term`` from ``docs(file, filepath, title, body)``, where ``len`` counts the tokens of the row. Write it partitioned by a hash of the term to serve many searches."""
+    rows = _term_rows(docs, stems).select("file", "len", F.explode("cols").alias("c"))
+    return rows.select("file", "len", "c.col", "c.weight", F.posexplode("c.terms").alias("pos", "term"))
+
+
+def _patterns(queries: list[tuple[str, str]], stems: bool) -> tuple[list, list]:
+    """Rows ``pattern, size, prefix, offset, want`` of the distinct clauses, and rows ``query_id, pattern, negative, need`` of the queries."""
+    known: dict[tuple, int] = {}
+    uses = []
     for qid, text in queries:
-        for n, c in enumerate(parse_lex(text)):
-            folded = [t for term in c.terms for t in re.findall(r"[^\W_]+", "".join(unicodedata.normalize("NFD", ch)[0] if ch in _FROM else ch for ch in term))]
-            for i, t in enumerate(folded):
-                rows.append((qid, n, c.negative, c.prefix and i == len(folded) - 1, len(folded), i, stem(t) if stems else t))
-    return spark.createDataFrame(rows, "query_id string, clause int, negative boolean, prefix boolean, size int, offset int, want string")
+        own = []
+        for c in parse_lex(text):
+            terms = tuple(
+                stem(t) if stems else t for term in c.terms for t in re.findall(r"[^\W_]+", "".join(unicodedata.normalize("NFD", ch)[0] if ch in _FROM else ch for ch in term))
+            )
+            if terms:
+                own.append((known.setdefault((terms, c.prefix), len(known)), c.negative))
+        need = sum(not negative for _, negative in own)
+        uses += [(qid, p, negative, need) for p, negative in own if need]
+    rows = [(n, len(terms), prefix and i == len(terms) - 1, i, t) for (terms, prefix), n in known.items() for i, t in enumerate(terms)]
+    return rows, uses
 
 
 def search(docs: DataFrame, queries: list[tuple[str, str]], limit: int | None = 20, stems: bool = False, any_clause: bool = False) -> DataFrame:
@@ -125,37 +132,42 @@ def search(docs: DataFrame, queries: list[tuple[str, str]], limit: int | None =
 
     ``docs``: ``file`` (unique), ``filepath, title, body`` (any may be null), already filtered to the wanted collections, so that a small
     collection is never starved by a large one. ``any_clause`` asks for at least one clause instead of all. ``score`` is
-    ``x / (1 + x)``. Ties go by file. Terms are matched in the scan: only hits of the wanted terms are shuffled.
+    ``x / (1 + x)``. Ties go by file. Equal clauses of many queries are matched once, and in the scan: only hits of wanted terms are shuffled.
     """
     spark = docs.sparkSession
-    clauses = clause_table(spark, queries, stems)
+    rows, uses = _patterns(queries, stems)
+    patterns = spark.createDataFrame(rows, "pattern int, size int, prefix boolean, offset int, want string")
+    names = [q for q, _ in queries]
+    number = {q: i for i, q in enumerate(names)}
+    use = spark.createDataFrame([(number[q], *rest) for q, *rest in uses], "q int, pattern int, negative boolean, need int")
+    ids = F.broadcast(spark.createDataFrame(list(enumerate(names)), "q int, query_id string"))
+    docs = spread(docs, "file")
     posts = postings(docs, stems)
-    lens = [r[0] for r in clauses.filter("prefix").select(F.length("want")).distinct().collect()]
     words = posts.select("term").distinct()
-    exact = words.join(F.broadcast(clauses.filter("not prefix")), F.col("term") == F.col("want"))
+    exact = words.join(F.broadcast(patterns.filter("not prefix")), F.col("term") == F.col("want"))
+    lens = sorted({len(r[4]) for r in rows if r[2]})
     heads = words.select("term", F.explode(F.array(*[F.substring("term", 1, n) for n in lens]) if lens else F.array().cast("array<string>")).alias("want")).distinct()
-    starts = heads.join(F.broadcast(clauses.filter("prefix")), "want").select(exact.columns)
-    wanted = exact.unionByName(starts).select("term", "query_id", "clause", "negative", "size", "offset").distinct().cache()
+    starts = heads.join(F.broadcast(patterns.filter("prefix")), "want").select(exact.columns)
+    wanted = exact.unionByName(starts).select("term", "pattern", "size", "offset").distinct().cache()
     small = F.broadcast if wanted.count() <= _BROADCAST_TERMS else (lambda df: df)
     hits = posts.join(small(wanted), "term")
-    found = hits.groupBy("query_id", "clause", "negative", "size", "file", "col", (F.col("pos") - F.col("offset")).alias("start")).agg(F.countDistinct("offset").alias("parts"))
-    weight = F.create_map(*[x for c, w in WEIGHTS.items() for x in (F.lit(c), F.lit(w))])
-    tf = found.filter("parts = size").groupBy("query_id", "clause", "negative", "file").agg(F.sum(weight[F.col("col")]).alias("tf"))
-    n_rows = Window.partitionBy("query_id", "clause")
-    tf = tf.withColumn("n", F.count(F.lit(1)).over(n_rows))
-    size = row_lengths(docs)
-    total = size.agg(F.count(F.lit(1)).alias("n_total"), F.avg("len").alias("avglen"))
-    rows = tf.join(size, "file").crossJoin(F.broadcast(total))  # one row
+    single = hits.filter("size = 1").groupBy("pattern", "file", "len").agg(F.sum("weight").alias("tf"))
+    # A place holds one term, so a phrase is there if as many of its terms are as it has.
+    place = hits.filter("size > 1").groupBy("pattern", "size", "file", "len", "col", "weight", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    phrase = place.filter("n = size").groupBy("pattern", "file", "len").agg(F.sum("weight").alias("tf"))
+    tf = single.unionByName(phrase).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pattern")))
+    total = _term_rows(docs, stems).agg(F.count(F.lit(1)).alias("n_total"), F.avg("len").alias("avglen"))
+    scored = tf.crossJoin(F.broadcast(total))  # one row
     idf = F.greatest(F.log((F.col("n_total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
-    scored = rows.groupBy("query_id", "file").agg(
-        F.sum(F.when(~F.col("negative"), part).otherwise(0.0)).alias("bm25"), F.sum((~F.col("negative")).cast("int")).alias("have"), F.max(F.col("negative")).alias("excluded")
+    per_clause = scored.select("pattern", "file", part.alias("part")).join(F.broadcast(use), "pattern")
+    per_query = per_clause.groupBy("q", "file").agg(
+        F.sum(F.when(~F.col("negative"), F.col("part")).otherwise(0.0)).alias("bm25"), F.sum((~F.col("negative")).cast("int")).alias("have"), F.max("negative").alias("excluded"), F.max("need").alias("need")
     )
-    need = clauses.filter("not negative").groupBy("query_id").agg(F.countDistinct("clause").alias("need"))
-    kept = scored.join(F.broadcast(need), "query_id").filter((~F.col("excluded")) & (F.lit(any_clause) & (F.col("have") > 0) | (F.col("have") == F.col("need"))))
-    kept = kept.select("query_id", "file", "bm25", score_map(F.col("bm25")).alias("score"))
-    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "file")))
-    return kept if limit is None else kept.filter(F.col("rank") <= limit)
+    kept = per_query.filter((~F.col("excluded")) & (F.col("have") >= (F.lit(1) if any_clause else F.col("need"))))
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.round("bm25", 9).desc(), "file")))
+    kept = kept if limit is None else kept.filter(F.col("rank") <= limit)
+    return kept.join(ids, "q").select("query_id", "file", "bm25", score_map(F.col("bm25")).alias("score"), "rank")
 
 
 def score_map(x: Column) -> Column:
