@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.functions.text import WordHashes, hashed_words, inside, mix
+from lodespark.session import spread
 
 _BITMAP = 1 << 22
 
@@ -135,6 +136,7 @@ def leaked_items(
     w = np.array(weights if weights is not None else [1.0] * window)
     w = w / w.sum()
     rows = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
+    rows = spread(rows, "doc_id")
     wanted = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").dropDuplicates(["i", "t"])
     found, part, size = [], [], 0
     flush = lambda: found.append(rows.mapInArrow(_search(ItemIndex(part, window, radius), similarity, w), "doc_id long, item_id long, n_windows long"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.functions.text import words
+from lodespark.session import spread
 
 DEFECTS = ("empty", "copied", "refusal", "language", "truncated")
 FIT_ROWS = 4000  #: examples that the classifier for texts without stopwords is fitted on, at most
@@ -308,4 +309,4 @@ def defective_pairs(examples: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
             lang = stopword_language(text, 2.0) if text else None
             if lang:
                 labelled.append((without_quotes(text), lang))
-    return once.mapInArrow(_judge(labelled), "example_id long, defect string")
+    return spread(once, "example_id").mapInArrow(_judge(labelled), "example_id long, defect string")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.pii_labels import KINDS, labelled_lines, plain_letters
+from lodespark.session import spread
 
 LABELS = ["O", *KINDS]
 K = len(LABELS)
@@ -155,6 +156,9 @@ def train(given: list[str], rounds: int = 120, rate: float = 0.12, decay: float
         beside[i] = f[0] == "~"
     lens = np.array([len(f) for f in types.feats])
     flat, owner = np.array([x for f in types.feats for x in f]), np.repeat(np.arange(len(lens)), lens)
+    type_at = np.concatenate([[0], np.cumsum(lens)[:-1]])  # every type has features, and every feature a type
+    by_feature = np.argsort(flat, kind="stable")
+    feature_at = np.searchsorted(flat[by_feature], np.arange(n_feats))
     w = np.zeros((n_feats, len(OFFSETS), K))
     trans = np.zeros((K, K))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)]
@@ -172,8 +176,7 @@ def train(given: list[str], rounds: int = 120, rate: float = 0.12, decay: float
             ids, y = _padded([seqs[i] for i in batch], newline), _padded([golds[i] for i in batch], 0)
             n = np.array([len(seqs[i]) for i in batch])
             m, length = ids.shape
-            table = np.zeros((len(lens), len(OFFSETS), K))
-            np.add.at(table, owner, w[flat])
+            table = np.add.reduceat(w[flat], type_at, axis=0)
             wide = np.pad(ids, ((0, 0), (4, 4)), constant_values=newline)
             em = np.zeros((m, length, K))
             for o, off in enumerate(OFFSETS):
@@ -202,8 +205,7 @@ def train(given: list[str], rounds: int = 120, rate: float = 0.12, decay: float
                 at = wide[:, 4 + off : 4 + off + length].ravel()
                 for k in range(K):
                     d_table[:, o, k] = np.bincount(at, d_em[:, :, k].ravel(), len(lens))
-            d_w = np.zeros_like(w)
-            np.add.at(d_w, flat, d_table[owner])
+            d_w = np.add.reduceat(d_table[owner[by_feature]], feature_at, axis=0)
             d_w = (d_w * allowed) / m - decay * w
             for p, g, m1, m2 in ((w, d_w, state[0], state[1]), (trans, d_trans / m - decay * trans, state[2], state[3])):
                 m1 += 0.1 * (g - m1)
@@ -402,7 +404,7 @@ def _tagged(docs: DataFrame, given_names: DataFrame, key: str, text: str, replac
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if not replace:
         rows = rows.filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(_run(_model(tuple(given)), given, replace), "doc_id long, redacted string, found array<struct<pii_kind string, pii_text string>>")
+    return spread(rows, "doc_id").mapInArrow(_run(_model(tuple(given)), given, replace), "doc_id long, redacted string, found array<struct<pii_kind string, pii_text string>>")
 
 
 def find_pii(docs: DataFrame, given_names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
