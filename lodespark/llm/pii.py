@@ -247,6 +247,13 @@ _EMAIL = re.compile(
 _ID_FORM = re.compile(r"[^\W_](?:[ .\-]?[^\W_]+)*")
 _ABBREVIATED = re.compile(r"\b(?:Rd|Ave|Ln|Blvd|Sq)\.$", re.I)
 _STREET_END = re.compile(r"\d+\w*,? [\w'’.-]+(?: [\w'’-]+)?? (?:(?:Rd|Ave|Ln|Blvd|Sq)\.|St|Street|Road|Lane|Court|Terrace|Avenue|Drive)(?=\.?\s+[^\W\d_])", re.I)
+# Words that name a kind of street.
+_STREET_WORD = re.compile(
+    r"\b(?:street|st|road|rd|lane|ln|avenue|ave|court|ct|terrace|drive|dr|way|square|sq|place|pl|close|crescent|row|boulevard|blvd|rue|impasse|quai|allée|chemin|cours|passage|calle|plaza|avenida|paseo|camino|ronda)\b"
+    r"|\bc/|(?:weg|gasse|straße|strasse|str\.|platz|allee|ufer|damm|ring|steig)\b|\bstr\.", re.I
+)
+_FRENCH_REST = re.compile(r" (?:des|du|de la|de l['’]|de) ?[^\W\d_][\w'’-]*(?:,? \d{5} [^\W\d_][\w'’-]*)?")
+_NAME_FORM = re.compile(r"[^\W\d_]+(?:(?:[ .,'’-]|\. |, )[^\W\d_]+)*\.?")
 _PARTICLES = {"de", "la", "del", "von", "van", "der", "den", "di", "da", "le", "el", "al", "bin", "ter", "zu"}
 _CAPITALISED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
@@ -278,7 +285,13 @@ def check_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         m = _ID_FORM.search(s)
         while m and sum(c.isdigit() for c in m.group()) < 5:
             m = _ID_FORM.search(s, m.end())
-        return (a + m.start(), a + m.end()) if m else None
+        if not m:
+            return None
+        a, b = a + m.start(), a + m.end()
+        if re.fullmatch(r"\d\d ?\d\d ?\d\d ?[A-Z]", text[a:b]):
+            head = re.search(r"(?<![^\W_])[A-Z]{2} ?$", text[max(0, a - 4) : a])  # letters that belong to the number
+            a -= len(head.group()) if head else 0
+        return a, b
     if kind == "A":
         m = _STREET_END.match(text, a, b)
         if m:
@@ -290,13 +303,16 @@ def check_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         if b < len(text) and text[b] == "." and _ABBREVIATED.search(text[a : b + 1]):
             b += 1
         s = text[a:b]
-        return (a, b) if any(c.isdigit() for c in s) and re.search(r"[^\W\d_]{3}", s) and len(s.split()) <= 14 else None
+        if re.search(r"\b(?:rue|impasse|avenue|quai|allée|place|chemin|boulevard|cours|passage)$", s, re.I):
+            rest = _FRENCH_REST.match(text, b)
+            b = rest.end() if rest else b
+        return (a, b) if any(c.isdigit() for c in s) and _STREET_WORD.search(s) and not (s[0].isalpha() and s[0].islower()) and re.search(r"[^\W\d_]{3}", s) and len(s.split()) <= 14 else None
     while b > a and not text[b - 1].isalpha():
         b -= 1
     while a < b and not text[a].isalpha():
         a += 1
     found = [w for w in _CAPITALISED.findall(text[a:b]) if len(w) > 1 and w.lower() not in _PARTICLES]
-    return (a, b) if 2 <= len(found) <= 4 else None
+    return (a, b) if 2 <= len(found) <= 4 and _NAME_FORM.fullmatch(text, a, b) else None
 
 
 class Tagger:
@@ -356,6 +372,8 @@ class Tagger:
                         doc = owner[d][0]
                         base = pos[tok_from[d]]
                         kind = LABELS[y[i]]
+                        if kind == "N" and texts[doc][int(pos[j + 1] - base) :][:1] == "@":
+                            kind = "E"  # a local part that reads like a name
                         span = check_span(texts[doc], int(pos[i] - base), int(pos[j + 1] - base), kind)
                         if span and (not out[doc] or span[0] >= out[doc][-1][1]):
                             out[doc].append((*span, kind))

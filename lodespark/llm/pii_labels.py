@@ -297,6 +297,16 @@ const {w} = await {w}.{v}({w}, {ddd});
 Figure {ddd} Shows That {A2} {W2} Values Cluster Tightly Around Whichever {W2} Was Sampled First
 BUT {UP} NEVER REQUIRED A {UA} {UW}, WITH {ddd} AS UPPER BOUND. ACCORDING TO {UP}, ANY {UW} MUST PASS
 Which {W2} Did {W} Choose Once Its {A2} {W2} Had Become Too Slow To Trust?
+const {w} = await {w}.{v}({w}, {ddd});
+    {w}_{w} = {w}.{v}({w}, {ddd})
+const {w} = await {w}.{v}({w}, {d}{d});
+every {w} _weighs_ _{ddd}_ units;
+> *capaces* de soportar `cada` hora, salvo **aquellas** de {W}
+Must Pass Through Exactly {ddd} Stages Of {W2} Treatment
+Form lists NI number {I} next to the {w}.
+insurance no. {I}
+{N}
+{E}
 Identifikationsnummer: {I}
 auf dem Formular steht Identifikationsnummer {I}.
 Tél. : {P}
