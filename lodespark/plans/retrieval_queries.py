@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodespark.functions.snippet import snippets
-from lodespark.operators import chunks, fusion, lexical, metrics, vector
+from lodespark.operators import chunks, expansion_reward, fusion, lexical, metrics, vector
 from lodespark.operators.store import bodies
 from lodespark.session import table
+from lodespark.sources import training
 
 QUERY_LIMIT = 10_000
 
@@ -203,6 +204,10 @@ def r7_expansion_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.select("type", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "pred_count", "golden_count", "matched")
 
 
+def r8_expansion_rewards(spark: SparkSession, d: str) -> DataFrame:
+    return expansion_reward.rewards(training.latest(table(spark, d, "training_examples")).select("example_id", "query", "output"))
+
+
 def r9_spearman(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").filter("source is not null and text is not null").select("source", F.col("n_chars").alias("a"), F.length(F.regexp_replace("text", "[^ ]", "")).alias("b"))
     return metrics.spearman(rows, "source", "a", "b").select("source", F.round("spearman", 6).alias("spearman"), "n")
@@ -213,7 +218,7 @@ QUERIES = {
     for f in (
         l9_bm25, l1_stemmed_bm25, l6_matches, l1_term_counts, v1_nearest, v2_nearest_in_label, v3_v4_best_by_label, v7_multi_query, v9_normalised, v10_recall_at_1, h5_h8_fusion, h6_compat_weights,
         h7_trace, h13_h16_blend, h14_rank_scores, h1_strong_signal, c4_chunks, c5_token_chunks, c4_small_bodies, h9_best_chunk, h19_snippets, r1_r4_scores, a12_r10_averages, r6_rank_quality,
-        r7_expansion_scores, r9_spearman,
+        r7_expansion_scores, r8_expansion_rewards, r9_spearman,
     )
 }
 
