@@ -8,7 +8,9 @@ import json
 from pyspark.sql import SparkSession
 
 from lodespark.api import Engine
+from lodespark.plans.evaluate import compare_file
 from lodespark.plans.hybrid import Options
+from lodespark.server import http_server, tool_server
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -40,6 +42,11 @@ def main(argv: list[str] | None = None) -> int:
         c = sub.add_parser(name)
         c.add_argument("name")
         c.add_argument("prefix", nargs="?", default="")
+    c = sub.add_parser("bench")
+    c.add_argument("fixture")
+    c = sub.add_parser("serve")
+    c.add_argument("--port", type=int, default=8181)
+    sub.add_parser("tools")
     a = p.parse_args(argv)
     e = Engine(SparkSession.builder.appName("lodespark").getOrCreate(), a.root)
     show = lambda x: print(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, indent=2, default=str))
@@ -68,6 +75,12 @@ def main(argv: list[str] | None = None) -> int:
         else:
             rows = e.search(a.text, a.collection, Options(limit=n, min_score=a.min_score, intent=a.intent, explain=a.explain))
         show(e.format(rows, a.style, a.text, a.full))
+    elif a.command == "bench":
+        show(compare_file(e, a.fixture))
+    elif a.command == "serve":
+        http_server(e, port=a.port).serve_forever()
+    elif a.command == "tools":
+        tool_server(e)
     elif a.command == "get":
         show(e.get(a.name))
     elif a.command == "multi-get":

@@ -289,3 +289,41 @@ def test_streams(spark, tmp_path):
         jobs.embed_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), models.HashEncoder(8)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
     assert jobs.distinct_content(spark.read.parquet(str(tmp_path / "in"))).count() == 5
+
+
+def test_services(spark, tmp_path):
+    import io
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from lodespark.server import http_server, tool_server
+
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.md").write_text("# A\ncopper harbour ledger")
+    e = Engine(spark, str(tmp_path / "s"))
+    e.add_collection("c", str(tmp_path / "f"))
+    e.update()
+    e.embed()
+    from lodespark.plans.evaluate import compare
+
+    _, averages = compare(e, [{"id": "q1", "query": "copper harbour", "expected_files": ["a.md"]}, {"id": "q2", "query": 'a "b', "expected_files": ["a.md"]}])
+    by = {r["backend"]: r for r in averages.collect()}
+    assert set(by) == {"bm25", "vector", "hybrid", "full"} and by["bm25"]["recall"] == 0.5 and by["full"]["n_queries"] == 2
+    http = http_server(e, port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{http.server_address[1]}"
+    ask = lambda path, body: json.load(urllib.request.urlopen(urllib.request.Request(base + path, json.dumps(body).encode())))
+    assert json.load(urllib.request.urlopen(base + "/health")) == {"status": "ok"}
+    assert ask("/query", {"searches": [{"type": "lex", "query": "copper"}], "limit": 3})["results"][0]["file"] == "lode://c/a.md"
+    assert ask("/get", {"name": "a.md"})["results"]["body"].startswith("# A")
+    for path, body, code in (("/query", {}, 400), ("/nothing", {}, 404), ("/query", {"searches": [{"type": "lex", "query": 'a "b'}]}, 400)):
+        with pytest.raises(urllib.error.HTTPError) as err:
+            ask(path, body)
+        assert err.value.code == code
+    http.shutdown()
+    calls = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "query", "arguments": {"query": "copper"}}}, {"id": 4, "method": "x"}, {"id": 5, "method": "tools/call", "params": {"name": "get", "arguments": {}}}]
+    sink = io.StringIO()
+    tool_server(e, io.StringIO("\n".join(map(json.dumps, calls)) + "\n"), sink)
+    out = {m["id"]: m for m in map(json.loads, sink.getvalue().splitlines())}
+    assert "1 documents" in out[1]["result"]["instructions"] and len(out[2]["result"]["tools"]) == 4 and "lode://c/a.md" in out[3]["result"]["content"][0]["text"] and out[4]["error"] and out[5]["result"]["isError"]
