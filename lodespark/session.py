@@ -19,6 +19,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     A small table in one file would pass through one task. Rows move only where the scan has fewer partitions than cores, which no large
     table has; they go by ``key``, so that a lost task finds the same rows again.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
