@@ -56,7 +56,7 @@ SELECT query, x.collection, x.path, x.hash FROM (SELECT query, min({{'collection
     "sel_p8_docid_lookup": f"""WITH {_D}, {_Q}, K AS (SELECT DISTINCT {_DOCID} AS h FROM Q)
 SELECT '#' || h AS query, x.collection, x.path, x.hash FROM (SELECT h, min({{'collection': collection, 'path': path, 'hash': hash}}) AS x FROM K JOIN A ON starts_with(hash, h) GROUP BY h)""",
     "sel_p10_fuzzy_lookup": f"""WITH {_D}, {_Q}, K AS (SELECT DISTINCT substring(path, 3) || 'x' AS query FROM Q), P AS (SELECT DISTINCT path FROM A),
-L AS (SELECT query, path, levenshtein(lower(query), lower(path)) AS distance FROM K JOIN P ON abs(length(query) - length(path)) <= 3)
+L AS (SELECT query, path, CAST(levenshtein(lower(query), lower(path)) AS INTEGER) AS distance FROM K JOIN P ON abs(length(query) - length(path)) <= 3)
 SELECT query, path, distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, path) AS r FROM L WHERE distance <= 3) WHERE r <= 5""",
     "sel_p11_pattern_match": rf"""WITH {_D}, R AS (SELECT name, coalesce(pattern, '**/*.md') AS p, CAST(ignore_patterns AS VARCHAR[]) AS s FROM store_collections),
 G AS (SELECT name, list_transform(list_concat([p], coalesce(s, [])), lambda g: '^' || replace(replace(replace(replace(replace(g, '.', '\.'), '**/', '<1>'), '**', '<2>'), '*', '[^/]*'), '<1>', '(?:.*/)?') || '$') AS g FROM R)
@@ -64,7 +64,7 @@ SELECT id, collection, path FROM D JOIN G ON name = collection WHERE active = 1
  AND len(list_filter(g[2:], lambda x: regexp_matches(path, replace(x, '<2>', '.*')))) = 0""",
     "sel_p11_glob": rf"""WITH {_D}, V AS (SELECT id, path, unnest([path, collection || '/' || path, 'lode://' || collection || '/' || path]) AS v FROM D WHERE active = 1)
 SELECT DISTINCT id, path FROM V WHERE regexp_matches(v, '^(?:.*/)?(?:ferry|mirror)/(?:.*/)?[^/]*-[^/]*[0-9]\.md$')""",
-    "sel_p12_multi_get": f"""WITH {_D}, {_C} SELECT collection, path, strlen(doc) AS n_bytes, CASE WHEN doc IS NULL THEN 'purged' WHEN strlen(doc) > 10240 THEN 'larger than 10240 bytes' END AS skip_reason,
+    "sel_p12_multi_get": f"""WITH {_D}, {_C} SELECT collection, path, CAST(strlen(doc) AS INTEGER) AS n_bytes, CASE WHEN doc IS NULL THEN 'purged' WHEN strlen(doc) > 10240 THEN 'larger than 10240 bytes' END AS skip_reason,
  CASE WHEN strlen(doc) <= 10240 THEN md5(doc) END AS body_md5 FROM D JOIN C USING (hash) WHERE active = 1""",
     "sel_p13_find_documents": f"""WITH {_D}, {_Q}, K AS (SELECT DISTINCT CASE id % 3 WHEN 0 THEN {_DOCID} WHEN 1 THEN collection || '/' || path ELSE string_split(path, '/')[-1] END AS query FROM Q),
 H AS (SELECT query, 0 AS priority, collection, path, hash FROM K JOIN A ON regexp_matches(query, '^[a-fA-F0-9]{{6,}}$') AND starts_with(hash, lower(query))
@@ -74,10 +74,10 @@ SELECT query, x.priority, x.collection, x.path, x.hash FROM (SELECT query, min({
     "sel_p14_body_lines": f"WITH {_C} SELECT hash, array_to_string(string_split(doc, chr(10))[3:6], chr(10)) AS lines FROM C WHERE doc IS NOT NULL",
     "sel_p15_list_files": f"WITH {_D} SELECT path, title, hash FROM D WHERE active = 1 AND collection = 'transient-corpus' AND path LIKE 'f%'",
     "sel_p17_visible_paths": f"WITH {_D} SELECT collection, count(*) AS n FROM D WHERE len(list_filter(string_split(path, '/'), lambda s: s LIKE '.%')) = 0 GROUP BY collection",
-    "j3_documents_with_content": f"WITH {_D}, {_C} SELECT id, hash, length(doc) AS n_chars FROM D JOIN C USING (hash) WHERE active = 1",
+    "j3_documents_with_content": f"WITH {_D}, {_C} SELECT id, hash, CAST(length(doc) AS INTEGER) AS n_chars FROM D JOIN C USING (hash) WHERE active = 1",
     "j4_e1_pending": (_PENDING := f"""WITH {_D}, {_C}, {_V}, E AS (SELECT hash, ceil(length(doc) / 3600.0) + CASE WHEN hash LIKE '0%' THEN 1 ELSE 0 END AS total FROM C WHERE doc IS NOT NULL),
 N AS (SELECT hash, count(*) AS stored FROM V GROUP BY hash), P AS (SELECT hash, min(path) AS path FROM D WHERE active = 1 GROUP BY hash)
-SELECT P.hash, P.path, strlen(doc) AS n_bytes FROM P JOIN C USING (hash) LEFT JOIN N USING (hash) LEFT JOIN E USING (hash) WHERE doc IS NOT NULL AND (stored IS NULL OR stored < total)"""),
+SELECT P.hash, P.path, CAST(strlen(doc) AS INTEGER) AS n_bytes FROM P JOIN C USING (hash) LEFT JOIN N USING (hash) LEFT JOIN E USING (hash) WHERE doc IS NOT NULL AND (stored IS NULL OR stored < total)"""),
     "a3_pending_count": f"SELECT count(DISTINCT hash) AS n_pending, CAST(coalesce(sum(n_bytes), 0) AS BIGINT) AS n_bytes FROM ({_PENDING})",
     "j6_orphaned_content": f"WITH {_D}, {_C} SELECT hash FROM C WHERE hash NOT IN (SELECT hash FROM D WHERE active = 1 AND hash IS NOT NULL)",
     "j7_orphaned_vectors": f"WITH {_D}, {_C}, {_V} SELECT hash, count(*) AS n_vectors FROM V WHERE hash NOT IN (SELECT hash FROM D WHERE active = 1 AND hash IS NOT NULL) GROUP BY hash",
@@ -114,9 +114,9 @@ SELECT file, arg_max(name, (length(root), name)) AS collection FROM F JOIN R ON
     "f1_wrong_hashes": "SELECT hash = sha256(doc) AS hash_is_right, count(*) AS n FROM content WHERE doc IS NOT NULL GROUP BY 1",
     "f1_cache_keys": """SELECT item_id, sha256('expandQuery' || '{"query":' || CAST(to_json(query) AS VARCHAR) || '}') AS cache_key FROM eval_items""",
     "f2_docids": f"WITH {_D} SELECT {_DOCID} AS docid, count(DISTINCT hash) AS n_hashes FROM D GROUP BY 1 HAVING count(DISTINCT hash) > 1",
-    "f3_title_distance": "SELECT doc_id, levenshtein(regexp_replace(title, '[^ -~]', '?', 'g'), regexp_replace(path, '[^ -~]', '?', 'g')) AS distance FROM documents WHERE title IS NOT NULL AND path IS NOT NULL",
+    "f3_title_distance": "SELECT doc_id, CAST(levenshtein(regexp_replace(title, '[^ -~]', '?', 'g'), regexp_replace(path, '[^ -~]', '?', 'g')) AS INTEGER) AS distance FROM documents WHERE title IS NOT NULL AND path IS NOT NULL",
     "f6_virtual_paths": f"WITH {_D} SELECT id, collection, path FROM D",
-    "f7_lengths": f"WITH {_C} SELECT hash, length(doc) AS n_chars, strlen(doc) AS n_bytes FROM C WHERE doc IS NOT NULL",
+    "f7_lengths": f"WITH {_C} SELECT hash, CAST(length(doc) AS INTEGER) AS n_chars, CAST(strlen(doc) AS INTEGER) AS n_bytes FROM C WHERE doc IS NOT NULL",
     "f8_numbered_lines": "SELECT item_id, array_to_string(list_transform(string_split(content, chr(10)), lambda x, i: CAST(i + 9 AS VARCHAR) || ': ' || x), chr(10)) AS numbered FROM eval_items",
     "f9_s12_escapes": f"""WITH {_D} SELECT id, {_CSV.format(x='title')} AS csv, replace(replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM D""",
     "s12_csv_rows": f"WITH {_D} SELECT id, '#' || {_DOCID} || ',' || {_CSV.format(x='path')} || ',' || {_CSV.format(x='title')} AS line FROM D WHERE active = 1",
