@@ -81,6 +81,6 @@ WITH t AS (SELECT doc_id, regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g
                   len(regexp_extract_all(text, '\p{L}+|\p{Nd}+|[^\s\p{Z}\p{L}\p{Nd}]')) AS tokens FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
 o AS (SELECT text, arg_min(source, doc_id) AS source, max(tokens) AS tokens FROM t
       WHERE tokens > 0 AND source IN (SELECT source FROM mix_targets) GROUP BY text)
-SELECT source, count(*) AS n_texts, sum(tokens) AS tokens FROM o GROUP BY source
+SELECT source, count(*) AS n_texts, CAST(sum(tokens) AS BIGINT) AS tokens FROM o GROUP BY source
 """,
 }
