@@ -156,11 +156,10 @@ def search(docs: DataFrame, queries: list[tuple[str, str]], limit: int | None =
     place = hits.filter("size > 1").groupBy("pattern", "size", "file", "len", "col", "weight", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
     phrase = place.filter("n = size").groupBy("pattern", "file", "len").agg(F.sum("weight").alias("tf"))
     tf = single.unionByName(phrase).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pattern")))
-    total = _term_rows(docs, stems).agg(F.count(F.lit(1)).alias("n_total"), F.avg("len").alias("avglen"))
-    scored = tf.crossJoin(F.broadcast(total))  # one row
-    idf = F.greatest(F.log((F.col("n_total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
-    per_clause = scored.select("pattern", "file", part.alias("part")).join(F.broadcast(use), "pattern")
+    total = _term_rows(docs, stems).agg(F.count(F.lit(1)).alias("n_total"), F.avg("len").alias("avglen")).first()
+    idf = F.greatest(F.log((F.lit(float(total["n_total"])) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(total["avglen"] or 1.0)))
+    per_clause = tf.select("pattern", "file", part.alias("part")).join(F.broadcast(use), "pattern")
     per_query = per_clause.groupBy("q", "file").agg(
         F.sum(F.when(~F.col("negative"), F.col("part")).otherwise(0.0)).alias("bm25"), F.sum((~F.col("negative")).cast("int")).alias("have"), F.max("negative").alias("excluded"), F.max("need").alias("need")
     )
