@@ -15,9 +15,8 @@ block leaves the band, and the similarity of shingle sets does not mind it; or t
 coarse), the sets are compared exactly.
 
 Skew: documents of the same words are collapsed to one representative before anything is paired
-(a partial aggregate). Keys held by more than ``hot_key`` documents are refined by a second,
-independent sketch within the key, which keeps the recall of true pairs and parts strangers; what
-is still together then is joined as it is, and AQE splits skewed partitions.
+(a partial aggregate). Keys held by more than ``hot_key`` documents are joined whole too, as pairs of
+blocks of about ``hot_key`` documents each: that loses no pair, and no key has to pass through one task.
 """
 
 from __future__ import annotations
@@ -121,8 +120,8 @@ def _whole(flat: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
     return mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
 
 
-def _sketch(entries: int, inner: int, short_entries: int, similarity: float, shingle: int, kmer: int):
-    fields = [("id", pa.int64()), ("key", pa.string()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("inner", pa.list_(pa.int64())), ("sig", pa.int64())]
+def _sketch(entries: int, short_entries: int, similarity: float, shingle: int, kmer: int):
+    fields = [("id", pa.int64()), ("key", pa.string()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sig", pa.int64())]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +132,6 @@ def _sketch(entries: int, inner: int, short_entries: int, similarity: float, shi
             flat, off = hashed_words(batch.column(1).to_pylist(), cache)
             n = _distinct_counts(flat, off, shingle)
             long_keys, sig = order_minhash(flat, off, kmer, 2, entries, 1)
-            inner_keys, _ = order_minhash(flat, off, kmer, 2, inner, 3)
             is_short = n <= SHORT / similarity
             long_keys[n < SHORT] = 0
             sig[is_short] = 0
@@ -154,7 +152,6 @@ def _sketch(entries: int, inner: int, short_entries: int, similarity: float, shi
                     pa.array(_whole(flat, off, 12).view(np.int64)),
                     pa.array(n),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[rows, cols].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * inner), pa.array(inner_keys.reshape(-1).view(np.int64))),
                     pa.array(sig.view(np.int64)),
                 ],
                 schema=schema,
@@ -243,6 +240,18 @@ def _verify(similarity: float, shingle: int, band: int):
     return run
 
 
+def _blocks(hot: DataFrame, size: int) -> DataFrame:
+    """``(k, id, n, side)`` of hot keys ``(k, id, n, c)``, with a key for each pair of blocks of about ``size`` ids.
+
+    Two ids of a key meet exactly once: on ``side`` 0 if they are of the same block, else on the sides 1 and 2 of their blocks' pair.
+    """
+    blocks = F.ceil(F.col("c") / size).cast("int")
+    own = hot.select("k", "id", "n", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(9), "id"), blocks).cast("int").alias("block"))
+    meets = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    return meets.select(F.xxhash64("k", F.least("block", "other"), F.greatest("block", "other")).alias("k"), "id", "n", side.alias("side"))
+
+
 def candidate_pairs(classes: DataFrame, similarity: float, hot_key: int, groups: int) -> DataFrame:
     """Pairs ``(a, b)`` of class representatives that sizes allow, with two keys in common, or one and like signatures.
 
@@ -252,12 +261,11 @@ def candidate_pairs(classes: DataFrame, similarity: float, hot_key: int, groups:
     keyed = classes.select(F.explode("s.keys").alias("k"), "s.id", "s.n")
     # Counted by a partial aggregate and joined back: no key has to pass through one task.
     busy = keyed.join(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "k")
-    cold = busy.filter(F.col("c") <= hot_key).select("k", "id", "n")
-    inner = classes.select("s.id", F.explode("s.inner").alias("i"))
-    hot = busy.filter(F.col("c") > hot_key).join(inner, "id").select(F.xxhash64("k", "i").alias("k"), "id", "n")
-    keys = cold.unionByName(hot)
+    cold = busy.filter(F.col("c") <= hot_key).select("k", "id", "n", F.lit(0).alias("side"))
+    keys = cold.unionByName(_blocks(busy.filter(F.col("c") > hot_key), hot_key))
     a, b = keys.alias("a"), keys.alias("b")
     near = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (similarity - 1e-9))
+    near &= (F.col("a.side") == 0) | (F.col("a.side") != F.col("b.side"))
     pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & near).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     pairs = pairs.agg(F.count(F.lit(1)).alias("n"))
     sig = classes.select("s.id", "s.sig")
@@ -296,7 +304,6 @@ def near_duplicate_links(
     shingle: int = 3,
     kmer: int = 5,
     entries: int = 30,
-    inner_entries: int = 12,
     short_entries: int = 12,
     hot_key: int = 64,
     band: int = 32,
@@ -313,10 +320,10 @@ def near_duplicate_links(
     table gives empty results.
     """
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("id"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    run = _sketch(entries, inner_entries, short_entries, similarity, shingle, kmer)
-    out = "id long, key string, w1 long, w2 long, n int, keys array<long>, inner array<long>, sig long"
+    run = _sketch(entries, short_entries, similarity, shingle, kmer)
+    out = "id long, key string, w1 long, w2 long, n int, keys array<long>, sig long"
     sketch = cut_lineage(spread(rows.select("id", "text", "key"), "id").mapInArrow(run, out).filter("n > 0"))
-    classes = sketch.groupBy("w1", "w2").agg(F.min(F.struct("id", "n", "keys", "inner", "sig")).alias("s"))
+    classes = sketch.groupBy("w1", "w2").agg(F.min(F.struct("id", "n", "keys", "sig")).alias("s"))
     members = sketch.join(classes.select("w1", "w2", F.col("s.id").alias("class_id")), ["w1", "w2"]).select("key", "class_id").distinct()
 
     pairs = cut_lineage(candidate_pairs(classes, similarity, hot_key, min(entries, _GROUPS)))

@@ -108,3 +108,34 @@ def test_filter_loses_nothing(spark):
     want = {r["id"] for r in wanted.collect()}
     assert want <= out and len(out) <= len(want) + 5
     assert _probably_in(rows, wanted.limit(0)).count() == 0
+
+
+def substituted(seed, copies, words=104, edits=3):
+    """Copies of one text with ``edits`` words replaced by words of their own; most pairs are at 84 / 120 = 0.70."""
+    r = random.Random(seed)
+    base = [f"w{seed}x{i}" for i in range(words)]
+    rows = []
+    for c in range(copies):
+        w = list(base)
+        for k in r.sample(range(words), edits):
+            w[k] = f"n{r.randrange(10**9)}"
+        rows.append((f"g{seed}_{c:04d}", " ".join(w)))
+    return rows
+
+
+def test_hot_keys_of_large_groups_lose_no_pair(spark):
+    rows = substituted(1, 300) + substituted(2, 300)
+    found = pairs_of(spark, rows)
+    assert found == pairs_of(spark, rows, hot_key=1_000_000)
+    assert len(brute(rows) - found) <= 10  # the sketch's own misses at 0.70
+
+
+def test_blocks_meet_once(spark):
+    from pyspark.sql import functions as F
+
+    from lodespark.operators.neardup import _blocks
+
+    hot = spark.range(50).select(F.lit(3).cast("long").alias("k"), "id", F.lit(1).alias("n"), F.lit(50).alias("c"))
+    rows = _blocks(hot, 7).collect()
+    met = [(a["id"], b["id"]) for a in rows for b in rows if a["k"] == b["k"] and a["id"] < b["id"] and (a["side"] == 0 or a["side"] != b["side"])]
+    assert len(met) == len(set(met)) == 50 * 49 // 2
