@@ -139,3 +139,8 @@ def test_blocks_meet_once(spark):
     rows = _blocks(hot, 7).collect()
     met = [(a["id"], b["id"]) for a in rows for b in rows if a["k"] == b["k"] and a["id"] < b["id"] and (a["side"] == 0 or a["side"] != b["side"])]
     assert len(met) == len(set(met)) == 50 * 49 // 2
+
+
+def test_hot_keys_of_short_texts(spark):
+    rows = [(f"s{i:03d}", f"a b c d e x{i}") for i in range(150)] + [("stub", "a b c d e")]
+    assert pairs_of(spark, rows) == brute(rows) == {(f"s{i:03d}", "stub") for i in range(150)}
