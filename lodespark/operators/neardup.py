@@ -1,13 +1,11 @@
-"""Near-duplicate documents: order-preserving min-hashing, then verification.
+"""Near-duplicate documents: min-hashing of shingle sets, then verification.
 
-Candidates come from Order MinHash. A document's word k-mers get occurrence labels, each of
-``entries`` hash functions keeps the two smallest labelled k-mers *in the order of the text*, and two
-documents are candidates if two such pairs agree, or one does and the signatures (two bits of each minimum) are alike. With
-k-mers of five words and a set similarity of 0.70 over three-word shingles, one entry agrees with a
-probability of about 0.3, so a pair is missed with about 4e-5. Strangers that share a sentence agree in
-one entry now and then, but hardly in two, so candidates stay in proportion to true pairs. Documents of few shingles, where five-word k-mers are
-too scarce, use single minima of three-word k-mers; the ranges of both overlap by the similarity
-bound, so that no pair lies between them.
+Candidates come from min-hashing the very sets that the similarity is over: neither the order of the text nor the number of times
+that a shingle occurs matters. Each of ``entries`` keys holds the minima of three hash functions, and two documents are candidates
+if two such keys agree, or one does and the signatures (two bits of each of 31 minima) are alike. At a set similarity of 0.70 a key
+agrees with a probability of 0.7 ** 3 = 0.34, so of 40 none does with 5e-8, and just one with 1e-6; above 0.70 both fall
+quickly. This is the only loss: the method is not exact. Strangers that share a tenth of their shingles agree in a given key with 0.001,
+so candidates stay in proportion to true pairs.
 
 Candidates are verified by a banded alignment of their words: so many edits touch at most three times as
 many shingles of either text, which proves the set similarity of most copies. Where it does not (a moved
@@ -31,10 +29,10 @@ from pyspark.sql import functions as F
 from lodespark.functions.text import WordHashes, hashed_words, inside, mix, shingles
 from lodespark.session import cut_lineage, spread
 
-SHORT = 24  #: distinct shingles below which a document also counts as short
-_MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FILTER_BITS = 25
 _GROUPS = 31  #: minima that the signature has two bits of
+_MINIMA = 3  #: minima in a key
+_BLOCK = 1 << 16  #: shingles that go through all functions at a time, so that they stay in the cache
 
 
 def _seeds(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,63 +40,38 @@ def _seeds(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     return r[:n], r[n:] | np.uint64(1)
 
 
-def _labelled(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """k-mer hashes with their occurrence number in the document mixed in."""
-    own = mix(h + mix(doc.astype(np.uint64) + np.uint64(77)))
-    order = np.argsort(own, kind="stable")
-    s = own[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-    nth = np.empty(len(s), np.uint64)
-    nth[order] = (np.arange(len(s)) - start).astype(np.uint64)
-    return np.where(nth == 0, h, mix(h + nth * np.uint64(0xD6E8FEB86659FD93)))
+def min_hashes(flat: np.ndarray, offsets: np.ndarray, shingle: int, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, entries) keys of three minima each, and a signature of two bits of each of the first ``_GROUPS`` minima.
 
-
-def order_minhash(flat: np.ndarray, offsets: np.ndarray, k: int, pick: int, entries: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, entries) keys, and a signature of two bits of each of the first ``_GROUPS`` minima.
-
-    Both are 0 where a document has fewer than ``pick`` k-mers. ``pick`` is 1 or 2.
+    Both are 0 where a document has fewer words than a shingle.
     """
     n_docs = len(offsets) - 1
     out, signature = np.zeros((n_docs, entries), np.uint64), np.zeros(n_docs, np.uint64)
-    at, doc = inside(offsets, k)
+    at, doc = inside(offsets, shingle)
     if not len(at):
         return out, signature
-    x = _labelled(shingles(flat, k)[at], doc)
+    x = shingles(flat, shingle)[at]
     counts = np.bincount(doc, minlength=n_docs)
-    have = np.flatnonzero(counts >= pick)
-    if not len(have):
-        return out, signature
-    if len(have) < n_docs:
-        keep = (counts >= pick)[doc]
-        x, doc = x[keep], doc[keep]
-    starts = np.concatenate([[0], np.cumsum(counts[have])[:-1]])
-    reps = counts[have]
-    xor, mul = _seeds(entries, salt)
-    for e in range(entries):
-        h = (x ^ xor[e]) * mul[e]
-        h ^= h >> np.uint64(31)
-        low = np.minimum.reduceat(h, starts)
-        if e < _GROUPS:
-            signature[have] |= (mix(low) & np.uint64(3)) << np.uint64(2 * e)
-        if pick == 1:
-            out[have, e] = mix(low + np.uint64(e + 1))
-            continue
-        hit = np.flatnonzero(h == np.repeat(low, reps))
-        owner = doc[hit]
-        first = np.ones(len(hit), bool)
-        first[1:] = owner[1:] != owner[:-1]
-        p1 = hit[first]
-        h[p1] = _MAX
-        low2 = np.minimum.reduceat(h, starts)
-        hit = np.flatnonzero(h == np.repeat(low2, reps))
-        owner = doc[hit]
-        first = np.ones(len(hit), bool)
-        first[1:] = owner[1:] != owner[:-1]
-        p2 = hit[first]
-        a, b = np.where(p1 < p2, low, low2), np.where(p1 < p2, low2, low)
-        out[have, e] = mix(mix(a + np.uint64(e + 1)) + b)
+    have = np.flatnonzero(counts)
+    ends = np.cumsum(counts[have])
+    starts = ends - counts[have]
+    xor, mul = _seeds(entries * _MINIMA, 1)
+    first = 0
+    while first < len(have):  # whole documents, as many as make up a block, at least one
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _BLOCK, "right")))
+        part, begin = x[starts[first] : ends[last - 1]], starts[first:last] - starts[first]
+        rows = have[first:last]
+        h, shifted = np.empty_like(part), np.empty_like(part)
+        for f in range(entries * _MINIMA):
+            np.bitwise_xor(part, xor[f], out=h)
+            np.multiply(h, mul[f], out=h)
+            np.right_shift(h, np.uint64(31), out=shifted)
+            np.bitwise_xor(h, shifted, out=h)
+            low = mix(np.minimum.reduceat(h, begin))
+            if f < _GROUPS:
+                signature[rows] |= (low & np.uint64(3)) << np.uint64(2 * f)
+            out[rows, f // _MINIMA] = mix(out[rows, f // _MINIMA] + low + np.uint64(f + 1))
+        first = last
     return out, signature
 
 
@@ -120,7 +93,7 @@ def _whole(flat: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
     return mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
 
 
-def _sketch(entries: int, short_entries: int, similarity: float, shingle: int, kmer: int):
+def _sketch(entries: int, shingle: int):
     fields = [("id", pa.int64()), ("key", pa.string()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sig", pa.int64())]
     schema = pa.schema(fields)
 
@@ -131,19 +104,7 @@ def _sketch(entries: int, short_entries: int, similarity: float, shingle: int, k
                 continue
             flat, off = hashed_words(batch.column(1).to_pylist(), cache)
             n = _distinct_counts(flat, off, shingle)
-            long_keys, sig = order_minhash(flat, off, kmer, 2, entries, 1)
-            is_short = n <= SHORT / similarity
-            long_keys[n < SHORT] = 0
-            sig[is_short] = 0
-            short = np.zeros((len(n), short_entries), np.uint64)
-            if is_short.any():
-                pick = np.flatnonzero(is_short)
-                parts = [flat[off[i] : off[i + 1]] for i in pick]
-                o = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-                short[pick], _ = order_minhash(np.concatenate(parts), o, shingle, 1, short_entries, 2)
-            keys = np.concatenate([long_keys, short], axis=1)
-            rows, cols = np.nonzero(keys)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(n)))]).astype(np.int32)
+            keys, sig = min_hashes(flat, off, shingle, entries)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -151,7 +112,7 @@ def _sketch(entries: int, short_entries: int, similarity: float, shingle: int, k
                     pa.array(_whole(flat, off, 11).view(np.int64)),
                     pa.array(_whole(flat, off, 12).view(np.int64)),
                     pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[rows, cols].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * entries), pa.array(keys.reshape(-1).view(np.int64))),
                     pa.array(sig.view(np.int64)),
                 ],
                 schema=schema,
@@ -255,8 +216,7 @@ def _blocks(hot: DataFrame, size: int) -> DataFrame:
 def candidate_pairs(classes: DataFrame, similarity: float, hot_key: int, groups: int) -> DataFrame:
     """Pairs ``(a, b)`` of class representatives that sizes allow, with two keys in common, or one and like signatures.
 
-    Texts of a set similarity of 0.70 agree in about two thirds of the signature's groups, strangers in little more than a quarter; 45 % are asked for.
-    Short texts have no signature, and need only one key.
+    Texts of a set similarity of 0.70 agree in about three quarters of the signature's groups, strangers in little more than a quarter; 45 % are asked for.
     """
     keyed = classes.select(F.explode("s.keys").alias("k"), "s.id", "s.n")
     # Counted by a partial aggregate and joined back: no key has to pass through one task.
@@ -302,9 +262,7 @@ def near_duplicate_links(
     text: str,
     similarity: float = 0.70,
     shingle: int = 3,
-    kmer: int = 5,
-    entries: int = 30,
-    short_entries: int = 12,
+    entries: int = 40,
     hot_key: int = 64,
     band: int = 32,
 ) -> tuple[DataFrame, DataFrame]:
@@ -320,13 +278,13 @@ def near_duplicate_links(
     table gives empty results.
     """
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("id"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    run = _sketch(entries, short_entries, similarity, shingle, kmer)
+    run = _sketch(entries, shingle)
     out = "id long, key string, w1 long, w2 long, n int, keys array<long>, sig long"
     sketch = cut_lineage(spread(rows.select("id", "text", "key"), "id").mapInArrow(run, out).filter("n > 0"))
     classes = sketch.groupBy("w1", "w2").agg(F.min(F.struct("id", "n", "keys", "sig")).alias("s"))
     members = sketch.join(classes.select("w1", "w2", F.col("s.id").alias("class_id")), ["w1", "w2"]).select("key", "class_id").distinct()
 
-    pairs = cut_lineage(candidate_pairs(classes, similarity, hot_key, min(entries, _GROUPS)))
+    pairs = cut_lineage(candidate_pairs(classes, similarity, hot_key, min(entries * _MINIMA, _GROUPS)))
 
     # The smaller side first: each pair carries one text, the other comes in by the last join.
     texts = _probably_in(rows.select("id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("id")))

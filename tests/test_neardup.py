@@ -144,3 +144,20 @@ def test_blocks_meet_once(spark):
 def test_hot_keys_of_short_texts(spark):
     rows = [(f"s{i:03d}", f"a b c d e x{i}") for i in range(150)] + [("stub", "a b c d e")]
     assert pairs_of(spark, rows) == brute(rows) == {(f"s{i:03d}", "stub") for i in range(150)}
+
+
+def test_order_and_repeats_do_not_matter(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(30):
+        lines = [" ".join(f"v{r.randrange(10**6)}" for _ in range(15)) for _ in range(20)]
+        rows += [(f"o{i:02d}", " ".join(lines)), (f"r{i:02d}", " ".join(lines[::-1]))]
+        passage = " ".join(lines[:7])
+        rows += [(f"p{i:02d}", passage), (f"q{i:02d}", " ".join([passage] * 10))]
+    assert pairs_of(spark, rows) == brute(rows)
+    assert len(brute(rows)) >= 60
+
+
+def test_large_groups_equal_brute_force(spark):
+    rows = substituted(3, 300) + substituted(4, 300)
+    assert pairs_of(spark, rows) == brute(rows)
