@@ -249,17 +249,21 @@ _ABBREVIATED = re.compile(r"\b(?:Rd|Ave|Ln|Blvd|Sq)\.$", re.I)
 _STREET_END = re.compile(r"\d+\w*,? [\w'’.-]+(?: [\w'’-]+)?? (?:(?:Rd|Ave|Ln|Blvd|Sq)\.|St|Street|Road|Lane|Court|Terrace|Avenue|Drive)(?=\.?\s+[^\W\d_])", re.I)
 # Words that name a kind of street.
 _STREET_WORD = re.compile(
-    r"\b(?:street|st|road|rd|lane|ln|avenue|ave|court|ct|terrace|drive|dr|way|square|sq|place|pl|close|crescent|row|boulevard|blvd|rue|impasse|quai|allée|chemin|cours|passage|calle|plaza|avenida|paseo|camino|ronda)\b"
+    r"\b(?:street|st|road|rd|lane|ln|avenue|ave|court|ct|terrace|drive|dr|way|square|sq|place|pl|close|crescent|row|grove|gardens|mews|route|boulevard|blvd|rue|impasse|quai|allée|chemin|cours|passage|calle|plaza|avenida|paseo|camino|ronda)\b"
     r"|\bc/|(?:weg|gasse|straße|strasse|str\.|platz|allee|ufer|damm|ring|steig)\b|\bstr\.", re.I
 )
 _FRENCH_REST = re.compile(r" (?:des|du|de la|de l['’]|de) ?[^\W\d_][\w'’-]*(?:,? \d{5} [^\W\d_][\w'’-]*)?")
 _NAME_FORM = re.compile(r"[^\W\d_]+(?:(?:[ .,'’-]|\. |, )[^\W\d_]+)*\.?")
+_SURE = {"A": 2.5, "N": 1.5}  #: log odds a token from which a decoded address or name stands without its usual form
 _PARTICLES = {"de", "la", "del", "von", "van", "der", "den", "di", "da", "le", "el", "al", "bin", "ter", "zu"}
 _CAPITALISED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
-def check_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """The part of a decoded span that has the form of its kind, or None."""
+def check_span(text: str, a: int, b: int, kind: str, sure: bool = False) -> tuple[int, int] | None:
+    """The part of a decoded span that has the form of its kind, or None.
+
+    A ``sure`` address needs no listed street word, and a sure address or name may be of any length.
+    """
     while a < b and text[a].isspace():
         a += 1
     while b > a and text[b - 1].isspace():
@@ -306,13 +310,15 @@ def check_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         if re.search(r"\b(?:rue|impasse|avenue|quai|allée|place|chemin|boulevard|cours|passage)$", s, re.I):
             rest = _FRENCH_REST.match(text, b)
             b = rest.end() if rest else b
-        return (a, b) if any(c.isdigit() for c in s) and _STREET_WORD.search(s) and not (s[0].isalpha() and s[0].islower()) and re.search(r"[^\W\d_]{3}", s) and len(s.split()) <= 14 else None
+        if not any(c.isdigit() for c in s) or s[0].isalpha() and s[0].islower() or not re.search(r"[^\W\d_]{3}", s):
+            return None
+        return (a, b) if sure or _STREET_WORD.search(s) and len(s.split()) <= 14 else None
     while b > a and not text[b - 1].isalpha():
         b -= 1
     while a < b and not text[a].isalpha():
         a += 1
     found = [w for w in _CAPITALISED.findall(text[a:b]) if len(w) > 1 and w.lower() not in _PARTICLES]
-    return (a, b) if 2 <= len(found) <= 4 and _NAME_FORM.fullmatch(text, a, b) else None
+    return (a, b) if 2 <= len(found) <= (len(found) if sure else 4) and _NAME_FORM.fullmatch(text, a, b) else None
 
 
 class Tagger:
@@ -324,8 +330,8 @@ class Tagger:
         t = model.trans
         self.sure = float(-2 * (t.max() - t.min()))
 
-    def label(self, toks: list[str]) -> np.ndarray:
-        """Labels of all tokens; no feature is looked up across a line end."""
+    def label(self, toks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Labels of all tokens, and by how much the score of each label exceeds that of O; no feature is looked up across a line end."""
         edges = self.types.encode(["\n", "\r", "\r\n"])
         ids = self.types.encode(toks)
         edge = self.types.ids["\n"]
@@ -343,7 +349,16 @@ class Tagger:
         certain = (em[:, 1:].max(1) - em[:, 0] < self.sure) | (ids == edge)
         change = np.flatnonzero(np.diff(np.concatenate([[True], certain, [True]]).astype(np.int8)))
         starts, ends = change[::2], change[1::2]
-        return viterbi(em, starts, ends - starts, self.model.trans, n) if len(starts) else np.zeros(n, np.int8)
+        y = viterbi(em, starts, ends - starts, self.model.trans, n) if len(starts) else np.zeros(n, np.int8)
+        return y, em[np.arange(n), y] - em[:, 0]
+
+    def lead(self, y: np.ndarray, gain: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Log odds of each span, from token ``first`` to ``last`` of one label, against none in its place."""
+        t, total, kind = self.model.trans, np.concatenate([[0], np.cumsum(gain, dtype=np.float64)]), y[first]
+        before = np.where(first > 0, y[first - 1], 0)
+        after = np.where(last + 1 < len(y), y[np.minimum(last + 1, len(y) - 1)], 0)
+        steps = t[before, kind] - t[before, 0] + (last - first) * (t[kind, kind] - t[0, 0]) + t[kind, after] - t[0, after]
+        return total[last + 1] - total[first] + steps
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """``(start, end, kind)`` of each text, in order and without overlap."""
@@ -360,7 +375,7 @@ class Tagger:
                     size += len(texts[end])
                 end += 1
             if toks:
-                y = self.label(toks)
+                y, gain = self.label(toks)
                 pos = np.concatenate([[0], np.cumsum(np.fromiter(map(len, toks), np.int64, len(toks)))])
                 hot = np.flatnonzero(y)
                 if len(hot):
@@ -368,13 +383,14 @@ class Tagger:
                     first, last = hot[np.concatenate([[0], cut])], hot[np.concatenate([cut - 1, [len(hot) - 1]])]
                     tok_from = np.concatenate([[0], np.cumsum([n + 1 for _, n in owner])])
                     which = np.searchsorted(tok_from, first, "right") - 1
-                    for i, j, d in zip(first, last, which):
+                    lead = self.lead(y, gain, first, last) / (last - first + 1)
+                    for i, j, d, sure in zip(first, last, which, lead):
                         doc = owner[d][0]
                         base = pos[tok_from[d]]
                         kind = LABELS[y[i]]
                         if kind == "N" and texts[doc][int(pos[j + 1] - base) :][:1] == "@":
                             kind = "E"  # a local part that reads like a name
-                        span = check_span(texts[doc], int(pos[i] - base), int(pos[j + 1] - base), kind)
+                        span = check_span(texts[doc], int(pos[i] - base), int(pos[j + 1] - base), kind, sure >= _SURE.get(kind, np.inf))
                         if span and (not out[doc] or span[0] >= out[doc][-1][1]):
                             out[doc].append((*span, kind))
             begin = end

@@ -82,3 +82,20 @@ def test_tables(spark, tagger):
     assert len(clean) == 5 and {r["text"] for r in clean if r["doc_id"] == 1} == {"cc: [NAME]\nmail: [EMAIL]\ntel: [PHONE]\ncc: [NAME]"}
     assert {r["doc_id"]: r["text"] for r in clean if r["doc_id"] in (2, 3)} == {2: None, 3: ""}
     assert find_pii(docs.limit(0), names).count() == 0 and redact("ab", []) == "ab"
+
+
+@pytest.mark.parametrize(
+    "line, value",
+    [
+        ("Anschrift: Am Markt 5, 24103 Hamburg", "Am Markt 5, 24103 Hamburg"), ("address: 12 Larkmoor Grove, Bristol BS1 4ND", "12 Larkmoor Grove, Bristol BS1 4ND"),
+        ("ship to 14 Orchard Hill, Leeds LS2 7AB", "14 Orchard Hill, Leeds LS2 7AB"), ("cc: Petra Anna Maria Luise Lindskov", "Petra Anna Maria Luise Lindskov"),
+    ],
+)
+def test_sure_spans_are_kept(tagger, line, value):
+    assert [line[a:b] for a, b, _ in tagger.spans([line])[0]] == [value]
+
+
+def test_unsure_spans_need_their_form():
+    text = "First, Roughly 470 Template Later"
+    assert check_span(text, 0, len(text), "A") is None and check_span(text, 0, len(text), "A", True) == (0, len(text))
+    assert check_span("under 155.", 6, 9, "A", True) is None
