@@ -57,7 +57,7 @@ class _Histogram:
         if gap < 3:
             return None
         x = np.arange(gap - 2, 0, -1)
-        for v in x[(self.n[x] > 0) & self.pair[gap - x]][:64]:
+        for v in x[(self.n[x] > 0) & self.pair[gap - x]]:
             found = self.two(gap - int(v), (int(v),))
             if found:
                 return (int(v), *found)

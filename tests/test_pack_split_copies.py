@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodespark.operators.copies import formatting_copies
-from lodespark.operators.pack import batch_items, container_fills, pack_histogram, pack_items
+from lodespark.operators.pack import _Histogram, batch_items, container_fills, pack_histogram, pack_items
 from lodespark.operators.split import split_documents, split_text
 
 BATCHES = "batch_id long, work_class string, token_ids array<array<int>>, lengths array<int>, pad_token_id int, created_at timestamp, capacity int, bucket string"
@@ -30,6 +30,13 @@ def test_histogram_is_packed_whole(case):
     assert sum(t for _, t in patterns) <= max(1, 2 * -(-total // capacity)) or not counts
 
 
+def test_triple_behind_many_used_up_pairs():
+    """Seventy first lengths come before the triple, whose pairs are in the index but used up."""
+    h = _Histogram(1000, {x: 1 for x in [*range(900, 970), 10, *range(21, 91), 500, 300, 200]})
+    h.n[21:91] = 0
+    assert h.three(1000) == (500, 300, 200)
+
+
 def test_exact_complements_fill_all():
     assert sum(t for _, t in pack_histogram(10, {7: 5, 3: 5, 6: 3, 2: 6, 5: 4})) == 5 + 3 + 2
 
