@@ -96,25 +96,39 @@ def distinct_texts(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return once.select("x.doc_id", "x.source", F.col("tokens").cast("long").alias("tokens"), "h1", "h2")
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0, target_entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
     """``chosen(doc_id, source, tokens, repeats)`` and ``shares(source, target_share, actual_share, used_tokens, available_tokens, n_texts, most_repeats)``.
 
     ``docs``: ``doc_id, text, source``; ``targets``: ``source, target_share, max_repeats``, one row a source. Other columns are
     ignored. Sources without a target are not used. The shares miss the targets by less than a text a source.
+
+    With ``target_entropy`` (0 to 1, of the largest) no ``target_share`` is needed, and none is read: the weights are those of
+    ``temperature_weights`` over all sources of ``targets``, and ``target_share`` of the result holds them.
     Empty tables give empty results.
     """
-    goals = targets.filter("source is not null and target_share is not null").select(source_name(F.col("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
+    if target_entropy is not None and not 0 <= target_entropy <= 1:
+        raise ValueError("target_entropy must lie between 0 and 1")
+    goals = targets if target_entropy is None else targets.withColumn("target_share", F.lit(0.0))
+    goals = goals.filter("source is not null and target_share is not null").select(source_name(F.col("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
     goal_rows = goals.limit(_MAX_SOURCES + 1).collect()
     if len(goal_rows) > _MAX_SOURCES:
         raise ValueError(f"more than {_MAX_SOURCES} sources have targets")
     texts = cut_lineage(distinct_texts(docs, goals))
     sizes = {r["source"]: r for r in texts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
     have = {s: r["tokens"] for s, r in sizes.items()}
-    weights, size, _ = mixture(have, {r["source"]: r["target_share"] for r in goal_rows}, {r["source"]: r["max_repeats"] for r in goal_rows}, total)
+    limits, wanted = {r["source"]: r["max_repeats"] for r in goal_rows}, {r["source"]: r["target_share"] for r in goal_rows}
+    if target_entropy is not None:
+        wanted, _ = temperature_weights({s: float(n) for s, n in have.items() if limits[s] > 0}, target_entropy)
+    weights, size, _ = mixture(have, wanted, limits, total if target_entropy is None else None)
+    if target_entropy is not None:
+        size = size if total is None else min(size, total)  # the entropy stays as asked for
     n_rows = sum(r["n"] for r in sizes.values())
     blocks = min(1 << 16, max(16, 1 << max(0, (n_rows // _ROWS_PER_BLOCK)).bit_length()))
     plan = [(s, int(w * size + 1e-6) // have[s], int(w * size + 1e-6) % have[s]) for s, w in weights.items()]
     spark = docs.sparkSession
+    if target_entropy is not None:
+        shown = spark.createDataFrame(list(wanted.items()), "source string, target_share double")
+        goals = goals.drop("target_share").join(F.broadcast(shown), "source", "left").withColumn("target_share", F.coalesce("target_share", F.lit(0.0)))
     budget = F.broadcast(spark.createDataFrame(plan, "source string, passes long, part long"))  # one row a source
     keyed = texts.join(budget, "source").withColumn("order", F.xxhash64(F.lit(seed), "h1", "h2")).withColumn("block", F.pmod("order", F.lit(blocks)))
     per_block = keyed.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))

@@ -65,3 +65,17 @@ def test_exponents():
     w, total, t = mixture({"a": 1000, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}, total=500)
     assert 0 < t < 1 and w["b"] * total <= 20 + 1e-6 and total == pytest.approx(500)
     assert mixture({}, {"a": 1.0}, {"a": 1}) == ({}, 0.0, 1.0)
+
+
+def test_target_entropy(spark):
+    _, docs = make(spark, 3)
+    targets = spark.createDataFrame([("big_one", 3), ("mid", 2), ("small", 3), ("absent", 1)], "source string, max_repeats int")
+    for total in (None, 3000):
+        chosen, shares = mix_sources(docs, targets, total=total, target_entropy=0.8)
+        out = {x["source"]: x for x in shares.collect()}
+        assert out["absent"]["used_tokens"] == 0 and out["big_one"]["target_share"] > out["mid"]["target_share"] > out["small"]["target_share"] > 0
+        assert entropy({s: x["target_share"] for s, x in out.items()}) == pytest.approx(0.8 * math.log(3), rel=1e-6)
+        used = sum(x["used_tokens"] for x in out.values())
+        assert all(abs(x["actual_share"] - x["target_share"]) < 200 / used for x in out.values())
+    assert abs(used - 3000) < 400
+    assert mix_sources(docs.limit(0), targets, target_entropy=0.8)[0].count() == 0
