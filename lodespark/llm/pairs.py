@@ -69,7 +69,8 @@ for _lang, _words in STOPWORDS.items():
     for _w in set(_words.split()):
         _VOTES.setdefault(_w, []).append(_lang)
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
-_QUOTED = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]|「[^」\n]{1,300}」|『[^』\n]{1,300}』|`[^`\n]{1,300}`")
+# A quote has no bound of length, but ends with its paragraph at the latest.
+_QUOTED = re.compile("|".join(rf"{a}(?:[^{b}\r\n]|(?:\r\n|\r|\n)(?![ \t]*[\r\n]))++[{b}]" for a, b in ('""', "“”", "«»", ("„", "“”"), "「」", "『』", "``")))
 _TYPED = re.compile(r"\s*(?:lex|vec|hyde|intent)\s*:", re.I)
 _LINES = re.compile(r"\r\n|\r|\n")
 _PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "」": "「", "』": "『", "”": "“", "»": "«", "》": "《"}

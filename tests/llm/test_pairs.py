@@ -54,3 +54,14 @@ def test_table(spark):
     out = sorted(map(tuple, defective_pairs(spark.createDataFrame(rows, SCHEMA)).collect()))
     assert out == [(1, "empty"), (2, "truncated"), (4, "empty")]
     assert defective_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_quotes(judge):
+    foreign = "wo liegen die Berichte und wie werden sie gelesen, " * 12
+    for a, b in ('""', "“”", "«»", "「」"):
+        assert judge("where are the files", [("hyde", f"They say {a}{foreign}{b} to each other.")]) is None
+        assert judge("where are the files", [("hyde", f"They say {a}wo liegen die Berichte\r\nund wie werden sie gelesen{b} to each other.")]) is None
+    assert judge("where are the files", [("hyde", f'They wrote "the files are old.\nI am unable to do that. {"The files were moved. " * 20}" on the door.')]) is None
+    # An open mark quotes nothing beyond its paragraph.
+    assert P._QUOTED.sub("", 'a 5" pipe\n \nwo liegen die 6" Berichte') == 'a 5" pipe\n \nwo liegen die 6" Berichte'
+    assert P._QUOTED.sub("", "“" * 20_000) == "“" * 20_000
