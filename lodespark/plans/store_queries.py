@@ -293,6 +293,11 @@ def f8_numbered_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", numbered_lines(F.col("content"), 10).alias("numbered"))
 
 
+def f8_numbered_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of all bodies, numbered; a purged body stays null."""
+    return _bodies(spark, d).select("hash", numbered_lines(F.col("doc"), 10).alias("numbered"))
+
+
 def f9_s12_escapes(spark: SparkSession, d: str) -> DataFrame:
     rows = _docs(spark, d)
     return rows.select("id", csv_field(F.col("title")).alias("csv"), xml_text(F.coalesce("title", F.lit(""))).alias("xml"))
@@ -348,7 +353,7 @@ QUERIES = {
         sel_p11_pattern_match, sel_p11_glob, sel_p12_multi_get, sel_p13_find_documents, sel_p14_body_lines, sel_p15_list_files, sel_p17_visible_paths, j3_documents_with_content, j4_e1_pending, a3_pending_count, j6_orphaned_content,
         j7_orphaned_vectors, j8_stored_chunks, j9_m2_scan_diff, m4_scan_counters, m2_merged_documents, m1_new_content, m6_renamed_collection, m7_collections_without_context, j10_x1_inherited_context,
         x2_nearest_context, k6_context_listing, x16_owning_collection, a1_collection_status, a2_active_by_collection, a4_vector_counts, a5_first_path, a6_days_stale, a7_collection_sizes,
-        a8_directories_without_context, k4_latest_delivery, k5_cache_eviction, d1_distinct_files, f1_wrong_hashes, f1_cache_keys, f2_docids, f3_title_distance, f6_virtual_paths, f7_lengths, f8_numbered_lines,
+        a8_directories_without_context, k4_latest_delivery, k5_cache_eviction, d1_distinct_files, f1_wrong_hashes, f1_cache_keys, f2_docids, f3_title_distance, f6_virtual_paths, f7_lengths, f8_numbered_lines, f8_numbered_bodies,
         f9_s12_escapes, s12_csv_rows, f13_age_days, f14_context_maps, x7_index_status, x14_training_pairs, x15_training_statistics, x15_query_categories, e11_tumbling_counts,
     )
 }

@@ -327,3 +327,14 @@ def test_services(spark, tmp_path):
     tool_server(e, io.StringIO("\n".join(map(json.dumps, calls)) + "\n"), sink)
     out = {m["id"]: m for m in map(json.loads, sink.getvalue().splitlines())}
     assert "1 documents" in out[1]["result"]["instructions"] and len(out[2]["result"]["tools"]) == 4 and "lode://c/a.md" in out[3]["result"]["content"][0]["text"] and out[4]["error"] and out[5]["result"]["isError"]
+
+
+def test_numbered_bodies(spark, tmp_path):
+    from lodespark.plans.store_queries import QUERIES
+
+    docs = {"a": "one\r\ntwo\n", "b": None, "c": "", "d": "x" * 100_000 + "\n\n汉🙂", "e": "\ufeffone"}
+    rows = [(h, d, None) for h, d in docs.items()] + [("a", docs["a"], None)]
+    spark.createDataFrame(rows, "hash string, doc string, created_at timestamp").write.parquet(str(tmp_path / "content.parquet"))
+    out = QUERIES["f8_numbered_bodies"](spark, str(tmp_path)).collect()
+    want = {h: None if d is None else "\n".join(f"{i}: {x}" for i, x in enumerate(d.split("\n"), 10)) for h, d in docs.items()}
+    assert len(out) == len(docs) and {r["hash"]: r["numbered"] for r in out} == want
