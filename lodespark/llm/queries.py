@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodespark.llm import curation
 from lodespark.llm.leaks import leaked_items
 from lodespark.llm.mixing import distinct_texts, mix_sources, source_name
 from lodespark.llm.pairs import defective_pairs
@@ -57,6 +58,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    **curation.QUERIES,
     "p1_found": p1_found,
     "p1_summary": p1_summary,
     "p6_found": p6_found,
@@ -69,6 +71,7 @@ QUERIES = {
 }
 
 SQL = {
+    **curation.SQL,
     "p6_found": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 e AS (SELECT item_id, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items WHERE content IS NOT NULL),
