@@ -46,7 +46,7 @@ def test_sql(spark, duck, name):
 
 def test_names_and_flagship(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert entry.entry(spark).columns == ["hash_a", "hash_b"]
+    assert entry.entry(spark).columns == ["query_id", "file", "bm25", "score", "rank"]
     for name in entry.queries():
         if re.match(r"p\d+_", name):
             assert name.split("_")[0] in {f"p{n}" for n in range(1, 9)}
