@@ -9,7 +9,7 @@ All features hang on token types, so a type's scores are computed once and a tex
 token whose lead of the label O exceeds what two transitions can make up for is O on every best path; texts are cut
 there, and only the runs between are decoded. That is exact: the paths are those of the whole text.
 
-After decoding an exact check trims each span to the form of its kind and drops spans without that form.
+After decoding, spans are trimmed to whole words; what the field has found is dropped only where nothing of its kind is left.
 """
 
 from __future__ import annotations
@@ -23,18 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespark.llm.pii_labels import KINDS, labelled_lines, plain_letters
+from lodespark.llm.pii_labels import COPIES, KINDS, labelled_lines, plain_letters
 from lodespark.session import spread
 
 LABELS = ["O", *KINDS]
 K = len(LABELS)
+_PAD = 4
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
+_AROUND = tuple(o for o in OFFSETS if o)
 _GAZETTEER_ROWS = 1_000_000
+EPOCHS = 10  #: passes over the labelled table
 _CHUNK_CHARS = 4_000_000
 
 TOKEN = re.compile(
     r"[^\S\r\n]*(?:[+(]{0,2}\d++(?![^\W\d_])(?:(?: \(|\) ?|[ .\-/])\d++(?![^\W\d_]))*+|[^\W_]++(?:['’][^\W_]++)*+|[^\w\s]|_)|\r\n|\r|\n|[^\S\r\n]+"
 )
+_EDGE = {"\r": "\n", "\r\n": "\n"}  #: line ends are alike
 _DIGIT = str.maketrans("123456789", "999999999")
 
 
@@ -141,77 +145,113 @@ def _gold(line: str, spans: list[tuple[int, int, str]], toks: list[str]) -> np.n
     return out
 
 
-def train(given: list[str], rounds: int = 120, rate: float = 0.12, decay: float = 1e-4, copies: int = 8, seed: int = 11) -> Model:
-    """Maximum likelihood by Adam over the whole labelled table, in batches of lines of like length."""
+class _Bags:
+    """Bags of features: sums of their weights by bag, and back."""
+
+    def __init__(self, bags: list[list[int]]):
+        lens = np.array([len(x) for x in bags])
+        self.bag_at = np.concatenate([[0], np.cumsum(lens)[:-1]])
+        self.own, self.flat = np.unique(np.concatenate(bags), return_inverse=True)
+        by_feature = np.argsort(self.flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(bags)), lens)[by_feature]
+        self.feature_at = np.searchsorted(self.flat[by_feature], np.arange(len(self.own)))
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.own][self.flat], self.bag_at, axis=0)
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        """By feature in ``own``."""
+        return np.add.reduceat(d[self.owner], self.feature_at, axis=0)
+
+
+class _Batch:
+    """Lines of like length, with the tables that one step of training needs."""
+
+    def __init__(self, seqs: list[np.ndarray], golds: list[np.ndarray], feats: list[list[int]], beside: np.ndarray, pad: int):
+        wide = _padded(seqs, pad)
+        self.y, self.n = _padded(golds, 0), np.array([len(s) for s in seqs])
+        self.m, self.length = wide.shape
+        self.live = np.arange(self.length)[None, :] < self.n[:, None]
+        kinds, ids = np.unique(wide, return_inverse=True)
+        pad_at = int(np.searchsorted(kinds, pad))
+        self.wide = np.pad(ids.reshape(wide.shape), ((0, 0), (-OFFSETS[0], OFFSETS[-1])), constant_values=pad_at)
+        self.n_kinds = len(kinds)
+        self.here = _Bags([feats[k] for k in kinds])
+        self.around = _Bags([[beside[f] for f in feats[k] if beside[f] >= 0] for k in kinds])
+        self.gold = np.zeros((self.m, self.length, K), np.float32)
+        np.put_along_axis(self.gold, self.y[:, :, None], 1, 2)
+        self.gold *= self.live[:, :, None]
+        self.gold_trans = np.zeros((K, K), np.float32)
+        np.add.at(self.gold_trans, (self.y[:, :-1][self.live[:, 1:]], self.y[:, 1:][self.live[:, 1:]]), 1)
+
+    def gradient(self, w: list[np.ndarray], trans: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Of the log-likelihood, by the weights of the batch's own features (here and around) and by the transitions (forward-backward, scaled)."""
+        m, length, live = self.m, self.length, self.live
+        em = self.here.sums(w[0])[self.wide[:, _PAD : _PAD + length]]
+        table = self.around.sums(w[1])
+        for i, off in enumerate(_AROUND):
+            em += table[self.wide[:, _PAD + off : _PAD + off + length], i]
+        e = np.exp(em - em.max(2, keepdims=True)) + np.float32(1e-30)
+        t = np.exp(trans - trans.max())
+        alpha, beta = np.empty_like(e), np.ones_like(e)
+        alpha[:, 0] = e[:, 0]
+        for i in range(1, length):
+            step = (alpha[:, i - 1] @ t) * e[:, i]
+            step /= step.sum(1, keepdims=True)
+            alpha[:, i] = np.where(live[:, i, None], step, alpha[:, i - 1])
+        d_trans = self.gold_trans.copy()
+        for i in range(length - 2, -1, -1):
+            on = live[:, i + 1, None]
+            behind = e[:, i + 1] * beta[:, i + 1]
+            step = behind @ t.T
+            z = (alpha[:, i] * step).sum(1, keepdims=True)
+            d_trans -= t * ((alpha[:, i] / z * on).T @ behind)
+            beta[:, i] = np.where(on, step / step.sum(1, keepdims=True), 1)
+        post = alpha * beta
+        d_em = self.gold - post / post.sum(2, keepdims=True) * live[:, :, None]
+        by_label = [np.ascontiguousarray(d_em[:, :, k]).ravel() for k in range(K)]
+        kind_sums = lambda off: np.stack([np.bincount(self.wide[:, _PAD + off : _PAD + off + length].ravel(), x, self.n_kinds) for x in by_label], 1).astype(np.float32)
+        return [self.here.back(kind_sums(0)), self.around.back(np.stack([kind_sums(off) for off in _AROUND], 1))], d_trans
+
+
+def train(given: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: float = 2e-3, copies: int = COPIES, seed: int = 11, half: int | None = None, rows_half: int | None = None) -> Model:
+    """Maximum likelihood over the whole labelled table, by AdaGrad in batches of lines of like length.
+
+    ``half`` and ``rows_half`` train on a part of the table, see there.
+    """
     names = frozenset(plain_letters(g).lower() for g in given)
     types = Types(None, names)
     seqs, golds = [], []
-    for line, spans in labelled_lines(given, copies, seed):
-        toks = ["\n", *tokens(line), "\n"]
+    for line, spans in labelled_lines(given, copies, seed, half, rows_half):
+        toks = [_EDGE[t] if t in _EDGE else t for t in ("\n", *tokens(line), "\n")]
         seqs.append(types.encode(toks).astype(np.int64))
         golds.append(np.concatenate([[0], _gold(line, spans, toks[1:-1]), [0]]))
     n_feats = len(types.features)
-    beside = np.zeros(n_feats, bool)
-    for f, i in types.features.items():
-        beside[i] = f[0] == "~"
-    lens = np.array([len(f) for f in types.feats])
-    flat, owner = np.array([x for f in types.feats for x in f]), np.repeat(np.arange(len(lens)), lens)
-    type_at = np.concatenate([[0], np.cumsum(lens)[:-1]])  # every type has features, and every feature a type
-    by_feature = np.argsort(flat, kind="stable")
-    feature_at = np.searchsorted(flat[by_feature], np.arange(n_feats))
-    w = np.zeros((n_feats, len(OFFSETS), K))
-    trans = np.zeros((K, K))
-    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)]
-    order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
-    batches = [order[i : i + 700] for i in range(0, len(order), 700)]
-    newline = types.ids["\n"]
-    allowed = np.ones((n_feats, len(OFFSETS), 1))
-    allowed[~beside] = 0
-    allowed[:, OFFSETS.index(0)] = 1
-    rng, step = np.random.default_rng(seed), 0
-    for _ in range(rounds // 3):
+    marked = np.array([f[0] == "~" for f in types.features])
+    beside = np.where(marked, np.cumsum(marked) - 1, -1)
+    rng = np.random.default_rng(seed)
+    shuffled = rng.permutation(len(seqs))  # so that lines of one row do not all share a batch
+    order = sorted(shuffled, key=lambda i: len(seqs[i]))
+    batches = [_Batch([seqs[i] for i in part], [golds[i] for i in part], types.feats, beside, types.ids["\n"]) for part in (order[s : s + 500] for s in range(0, len(order), 500))]
+    w = [np.zeros((n_feats, K), np.float32), np.zeros((int(marked.sum()), len(_AROUND), K), np.float32)]
+    seen = [np.full_like(x, 1e-4) for x in w]
+    trans, trans_seen = np.zeros((K, K), np.float32), np.full((K, K), 1e-4, np.float32)
+    for _ in range(epochs):
         for bi in rng.permutation(len(batches)):
             batch = batches[bi]
-            step += 1
-            ids, y = _padded([seqs[i] for i in batch], newline), _padded([golds[i] for i in batch], 0)
-            n = np.array([len(seqs[i]) for i in batch])
-            m, length = ids.shape
-            table = np.add.reduceat(w[flat], type_at, axis=0)
-            wide = np.pad(ids, ((0, 0), (4, 4)), constant_values=newline)
-            em = np.zeros((m, length, K))
-            for o, off in enumerate(OFFSETS):
-                em += table[wide[:, 4 + off : 4 + off + length], o]
-            live = np.arange(length)[None, :] < n[:, None]
-            alpha, beta = np.zeros((m, length, K)), np.zeros((m, length, K))
-            lse = lambda x, ax: (mx := x.max(ax, keepdims=True)).squeeze(ax) + np.log(np.exp(x - mx).sum(ax))
-            alpha[:, 0] = em[:, 0]
-            for t in range(1, length):
-                nxt = lse(alpha[:, t - 1, :, None] + trans, 1) + em[:, t]
-                alpha[:, t] = np.where(live[:, t, None], nxt, alpha[:, t - 1])
-            for t in range(length - 2, -1, -1):
-                nxt = lse(trans[None] + (em[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-                beta[:, t] = np.where(live[:, t + 1, None], nxt, 0)
-            logz = lse(alpha[:, -1], 1)
-            post = np.exp(alpha + beta - logz[:, None, None]) * live[:, :, None]
-            gold = np.zeros_like(post)
-            gold[np.arange(m)[:, None], np.arange(length)[None, :], y] = 1
-            d_em = (gold * live[:, :, None] - post)
-            pair = np.exp(alpha[:, :-1, :, None] + trans + (em[:, 1:] + beta[:, 1:])[:, :, None, :] - logz[:, None, None, None]) * live[:, 1:, None, None]
-            d_trans = np.zeros((K, K))
-            np.add.at(d_trans, (y[:, :-1][live[:, 1:]], y[:, 1:][live[:, 1:]]), 1)
-            d_trans -= pair.sum((0, 1))
-            d_table = np.zeros_like(table)
-            for o, off in enumerate(OFFSETS):
-                at = wide[:, 4 + off : 4 + off + length].ravel()
-                for k in range(K):
-                    d_table[:, o, k] = np.bincount(at, d_em[:, :, k].ravel(), len(lens))
-            d_w = np.add.reduceat(d_table[owner[by_feature]], feature_at, axis=0)
-            d_w = (d_w * allowed) / m - decay * w
-            for p, g, m1, m2 in ((w, d_w, state[0], state[1]), (trans, d_trans / m - decay * trans, state[2], state[3])):
-                m1 += 0.1 * (g - m1)
-                m2 += 0.01 * (g * g - m2)
-                p += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
-    return Model(types.features, w.astype(np.float32), trans.astype(np.float32))
+            d_w, d_trans = batch.gradient(w, trans)
+            for x, total, d, own in zip(w, seen, d_w, (batch.here.own, batch.around.own)):
+                d = d / batch.m - decay * x[own] / len(batches)
+                total[own] += d * d
+                x[own] += rate * d / np.sqrt(total[own])
+            d_trans = d_trans / batch.m
+            trans_seen += d_trans * d_trans
+            trans += rate * d_trans / np.sqrt(trans_seen)
+    weights = np.zeros((n_feats, len(OFFSETS), K), np.float32)
+    weights[:, OFFSETS.index(0)] = w[0]
+    for i, off in enumerate(_AROUND):
+        weights[marked, OFFSETS.index(off)] = w[1][:, i]
+    return Model(types.features, weights, trans)
 
 
 def viterbi(em: np.ndarray, starts: np.ndarray, lens: np.ndarray, trans: np.ndarray, n_tokens: int) -> np.ndarray:
@@ -241,84 +281,78 @@ def viterbi(em: np.ndarray, starts: np.ndarray, lens: np.ndarray, trans: np.ndar
     return out
 
 
+# An e-mail address as a whole, spelled out or not: its end is where the form ends, not where a token does.
 _EMAIL = re.compile(
     r"[^\W_](?:[\w.+\-]*\w)?(?:@| ?[\[({<] ?(?:at|arroba) ?[\])}>] ?| (?:AT|at|arroba) )[^\W_](?:[\w\-]*[^\W_])?(?:(?:\.| ?[\[({<] ?(?:dot|punto|point|punkt) ?[\])}>] ?| (?:DOT|dot|punto|point|punkt) )[^\W_](?:[\w\-]*[^\W_])?)+", re.I
 )
-_ID_FORM = re.compile(r"[^\W_](?:[ .\-]?[^\W_]+)*")
-_ABBREVIATED = re.compile(r"\b(?:Rd|Ave|Ln|Blvd|Sq)\.$", re.I)
-_STREET_END = re.compile(r"\d+\w*,? [\w'’.-]+(?: [\w'’-]+)?? (?:(?:Rd|Ave|Ln|Blvd|Sq)\.|St|Street|Road|Lane|Court|Terrace|Avenue|Drive)(?=\.?\s+[^\W\d_])", re.I)
-# Words that name a kind of street.
-_STREET_WORD = re.compile(
-    r"\b(?:street|st|road|rd|lane|ln|avenue|ave|court|ct|terrace|drive|dr|way|square|sq|place|pl|close|crescent|row|grove|gardens|mews|route|boulevard|blvd|rue|impasse|quai|allée|chemin|cours|passage|calle|plaza|avenida|paseo|camino|ronda)\b"
-    r"|\bc/|(?:weg|gasse|straße|strasse|str\.|platz|allee|ufer|damm|ring|steig)\b|\bstr\.", re.I
-)
-_FRENCH_REST = re.compile(r" (?:des|du|de la|de l['’]|de) ?[^\W\d_][\w'’-]*(?:,? \d{5} [^\W\d_][\w'’-]*)?")
-_NAME_FORM = re.compile(r"[^\W\d_]+(?:(?:[ .,'’-]|\. |, )[^\W\d_]+)*\.?")
-_SURE = {"A": 2.5, "N": 1.5}  #: log odds a token from which a decoded address or name stands without its usual form
-_PARTICLES = {"de", "la", "del", "von", "van", "der", "den", "di", "da", "le", "el", "al", "bin", "ter", "zu"}
-_CAPITALISED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_ABBREVIATED = re.compile(r"\b(?:Rd|Ave|Ln|St|Dr|Ct|Blvd|Sq|Str)$", re.I)
+_PARTICLES = {"de", "la", "del", "von", "van", "der", "den", "di", "da", "dos", "du", "le", "el", "al", "bin", "ter", "zu"}
+_NAME_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+LEAST = {"N": 0.1, "A": 1.0}  #: log odds a token that a span of a kind needs at least
+
 
+def _whole_words(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span with the rest of a word, or of words joined by hyphens, that it cuts through."""
+    if a < b and text[a].isalnum():
+        while a and (text[a - 1].isalnum() or a > 1 and text[a - 1] in "-'’" and text[a - 2].isalnum()):
+            a -= 1 if text[a - 1].isalnum() else 2
+    if a < b and text[b - 1].isalnum():
+        while b < len(text) and (text[b].isalnum() or b + 1 < len(text) and text[b] in "-'’" and text[b + 1].isalnum()):
+            b += 1 if text[b].isalnum() else 2
+    return a, b
 
-def check_span(text: str, a: int, b: int, kind: str, sure: bool = False) -> tuple[int, int] | None:
-    """The part of a decoded span that has the form of its kind, or None.
 
-    A ``sure`` address needs no listed street word, and a sure address or name may be of any length.
+def check_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """A decoded span, trimmed to whole words and without the marks around it; None if nothing of its kind is left.
+
+    That is: an e-mail address without a host, numbers of fewer than five digits, an address without a number or a word, a name without two words.
     """
     while a < b and text[a].isspace():
         a += 1
     while b > a and text[b - 1].isspace():
         b -= 1
-    s = text[a:b]
     if kind == "E":
-        m = _EMAIL.search(text, max(0, a - 64), min(len(text), b + 64))
-        while m and m.end() <= a:
-            m = _EMAIL.search(text, m.end(), min(len(text), b + 64))
-        if not m or m.start() >= b or not re.search(r"[^\W\d_]{2,}$", m.group()):
-            return None
-        return m.start(), m.end()
-    if kind == "P":
-        m = re.search(r"[+(]*\d[\d .\-/()]*\d", s)
-        if not m or not 7 <= sum(c.isdigit() for c in m.group()) <= 15:
-            return None
-        head = m.start()
-        if m.group().count("(") != m.group().count(")"):
-            while head < m.end() and s[head] == "(":
-                head += 1
-        return a + head, a + m.end()
-    if kind == "I":
-        m = _ID_FORM.search(s)
-        while m and sum(c.isdigit() for c in m.group()) < 5:
-            m = _ID_FORM.search(s, m.end())
-        if not m:
-            return None
-        a, b = a + m.start(), a + m.end()
-        if re.fullmatch(r"\d\d ?\d\d ?\d\d ?[A-Z]", text[a:b]):
-            head = re.search(r"(?<![^\W_])[A-Z]{2} ?$", text[max(0, a - 4) : a])  # letters that belong to the number
-            a -= len(head.group()) if head else 0
-        return a, b
-    if kind == "A":
-        m = _STREET_END.match(text, a, b)
-        if m:
-            b = m.end()  # what follows the street without a comma is the next sentence
-        while b > a and not text[b - 1].isalnum() and not _ABBREVIATED.search(text[a:b]):
-            b -= 1
-        while a < b and not text[a].isalnum():
+        line = max(text.rfind("\n", 0, a), text.rfind("\r", 0, a)) + 1
+        for m in _EMAIL.finditer(text, line):
+            if m.start() >= b:
+                break
+            if m.end() > a:
+                return m.span()
+        return None
+    if kind in "PI":
+        while a < b and not (text[a].isalnum() or kind == "P" and text[a] in "+("):
             a += 1
-        if b < len(text) and text[b] == "." and _ABBREVIATED.search(text[a : b + 1]):
-            b += 1
-        s = text[a:b]
-        if re.search(r"\b(?:rue|impasse|avenue|quai|allée|place|chemin|boulevard|cours|passage)$", s, re.I):
-            rest = _FRENCH_REST.match(text, b)
-            b = rest.end() if rest else b
-        if not any(c.isdigit() for c in s) or s[0].isalpha() and s[0].islower() or not re.search(r"[^\W\d_]{3}", s):
-            return None
-        return (a, b) if sure or _STREET_WORD.search(s) and len(s.split()) <= 14 else None
-    while b > a and not text[b - 1].isalpha():
+        if kind == "P":
+            m = re.search(r"[+(]*\d", text[a:b])
+            a += m.start() if m else 0
+            if text[a:b].count("(") > text[a:b].count(")") and text[a] == "(":
+                a += 1
+        while b > a and not (text[b - 1].isdigit() if kind == "P" else text[b - 1].isalnum()):
+            b -= 1
+        if kind == "I":
+            a, b = _whole_words(text, a, b)
+        return (a, b) if sum(c.isdigit() for c in text[a:b]) >= 5 else None
+    while b > a and not text[b - 1].isalnum():
         b -= 1
-    while a < b and not text[a].isalpha():
+    while a < b and not text[a].isalnum():
         a += 1
-    found = [w for w in _CAPITALISED.findall(text[a:b]) if len(w) > 1 and w.lower() not in _PARTICLES]
-    return (a, b) if 2 <= len(found) <= (len(found) if sure else 4) and _NAME_FORM.fullmatch(text, a, b) else None
+    a, b = _whole_words(text, a, b)
+    if kind == "A":
+        if text[b : b + 1] == "." and _ABBREVIATED.search(text[a:b]):
+            b += 1
+        s = text[a:b]
+        return (a, b) if any(c.isdigit() for c in s) and re.search(r"[^\W\d_]{2}", s) else None
+    # Words in small letters at either end of a capitalised name are not part of it, nor are particles without a name behind.
+    parts = [m.span() for m in _NAME_WORD.finditer(text, a, b)]
+    real = [p for p in parts if text[p[0] : p[1]].lower() not in _PARTICLES and p[1] - p[0] > 1]
+    upper = [p for p in real if text[p[0]].isupper()]
+    keep = upper if len(upper) > 1 else real
+    if len(keep) < 2 or len(upper) == 1:
+        return None
+    first = parts.index(keep[0])
+    while first and text[slice(*parts[first - 1])].lower() in _PARTICLES:
+        first -= 1
+    return parts[first][0], keep[-1][1]
 
 
 class Tagger:
@@ -331,7 +365,7 @@ class Tagger:
         self.sure = float(-2 * (t.max() - t.min()))
 
     def label(self, toks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Labels of all tokens, and by how much the score of each label exceeds that of O; no feature is looked up across a line end."""
+        """Labels of all tokens, and by how much the score of each label exceeds that of O."""
         edges = self.types.encode(["\n", "\r", "\r\n"])
         ids = self.types.encode(toks)
         edge = self.types.ids["\n"]
@@ -339,13 +373,10 @@ class Tagger:
         table = self.types.scores()
         n = len(ids)
         em = table[ids, OFFSETS.index(0)]
-        line = np.cumsum(ids == edge)
-        wide = np.concatenate([np.full(4, edge, np.int32), ids, np.full(4, edge, np.int32)])
-        lines = np.concatenate([np.full(4, -1), line, np.full(4, -1)])
+        wide = np.concatenate([np.full(_PAD, edge, np.int32), ids, np.full(_PAD, edge, np.int32)])
         for o, off in enumerate(OFFSETS):
             if off:
-                beside = np.where(lines[4 + off : 4 + off + n] == line, wide[4 + off : 4 + off + n], edge)
-                em += np.take(table[:, o], beside, axis=0)
+                em += np.take(table[:, o], wide[_PAD + off : _PAD + off + n], axis=0)
         certain = (em[:, 1:].max(1) - em[:, 0] < self.sure) | (ids == edge)
         change = np.flatnonzero(np.diff(np.concatenate([[True], certain, [True]]).astype(np.int8)))
         starts, ends = change[::2], change[1::2]
@@ -370,7 +401,7 @@ class Tagger:
                 if texts[end]:
                     mine = tokens(texts[end])
                     toks += mine
-                    toks.append("\n")
+                    toks += ["\n"] * _PAD  # no feature is looked up in another text
                     owner.append((end, len(mine)))
                     size += len(texts[end])
                 end += 1
@@ -381,7 +412,7 @@ class Tagger:
                 if len(hot):
                     cut = np.flatnonzero((np.diff(hot) != 1) | (np.diff(y[hot]) != 0)) + 1
                     first, last = hot[np.concatenate([[0], cut])], hot[np.concatenate([cut - 1, [len(hot) - 1]])]
-                    tok_from = np.concatenate([[0], np.cumsum([n + 1 for _, n in owner])])
+                    tok_from = np.concatenate([[0], np.cumsum([n + _PAD for _, n in owner])])
                     which = np.searchsorted(tok_from, first, "right") - 1
                     lead = self.lead(y, gain, first, last) / (last - first + 1)
                     for i, j, d, sure in zip(first, last, which, lead):
@@ -390,7 +421,9 @@ class Tagger:
                         kind = LABELS[y[i]]
                         if kind == "N" and texts[doc][int(pos[j + 1] - base) :][:1] == "@":
                             kind = "E"  # a local part that reads like a name
-                        span = check_span(texts[doc], int(pos[i] - base), int(pos[j + 1] - base), kind, sure >= _SURE.get(kind, np.inf))
+                        if sure < LEAST.get(kind, 0):
+                            continue
+                        span = check_span(texts[doc], int(pos[i] - base), int(pos[j + 1] - base), kind)
                         if span and (not out[doc] or span[0] >= out[doc][-1][1]):
                             out[doc].append((*span, kind))
             begin = end
