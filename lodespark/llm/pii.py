@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespark.llm.pii_labels import COPIES, KINDS, labelled_lines, plain_letters
+from lodespark.llm.pii_labels import COPIES, KINDS, known_names, labelled_lines, plain_letters
 from lodespark.session import spread
 
 LABELS = ["O", *KINDS]
@@ -219,7 +219,7 @@ def train(given: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: flo
 
     ``half`` and ``rows_half`` train on a part of the table, see there.
     """
-    names = frozenset(plain_letters(g).lower() for g in given)
+    names = frozenset(plain_letters(g).lower() for g in known_names(given))
     types = Types(None, names)
     seqs, golds = [], []
     for line, spans in labelled_lines(given, copies, seed, half, rows_half):
@@ -360,7 +360,7 @@ class Tagger:
 
     def __init__(self, model: Model, given: list[str]):
         self.model = model
-        self.types = Types(model, frozenset(plain_letters(g).lower() for g in given))
+        self.types = Types(model, frozenset(plain_letters(g).lower() for g in known_names(given)))
         t = model.trans
         self.sure = float(-2 * (t.max() - t.min()))
 

@@ -776,14 +776,19 @@ def _digits(r: random.Random, shape: str) -> str:
     return "".join(str(r.randint(0, 9)) if c == "9" else r.choice("ABCDEFGHJKLMNPRSTVWXYZ") if c == "A" else c for c in shape)
 
 
+def known_names(given: list[str]) -> list[str]:
+    """The given names that are looked up: those of the reference list and of this table."""
+    return sorted({*given, *GIVEN})
+
+
 class Lines:
     """Fills the rows of the table. ``half`` 0 or 1 uses every second entry of the lists; None all."""
 
     def __init__(self, given: list[str], seed: int, half: int | None = None):
         self.r = random.Random(seed)
         self.part = (lambda xs: list(xs)) if half is None else (lambda xs: list(xs)[half::2])
-        self.listed = self.part(sorted(given)) or self.part(GIVEN)
-        for name in ("GIVEN", "SURNAMES", "SURNAME_ENDS", "NOUNS", "ADJECTIVES", "STREETS", "GERMAN_STREETS", "FRENCH_STREETS", "SPANISH_STREETS", "TOWNS", "SENTENCES", "FOREIGN", "PRODUCTS", "MAIL_WORDS", "VERBS", "PAST", "PHONE_LABELS", "MAIL_LABELS", "ADDRESS_LABELS", "NAME_LABELS", "CLOSINGS", "ID_LABELS"):
+        self.listed = self.part(known_names(given))
+        for name in ("SURNAMES", "SURNAME_ENDS", "NOUNS", "ADJECTIVES", "STREETS", "GERMAN_STREETS", "FRENCH_STREETS", "SPANISH_STREETS", "TOWNS", "SENTENCES", "FOREIGN", "PRODUCTS", "MAIL_WORDS", "VERBS", "PAST", "PHONE_LABELS", "MAIL_LABELS", "ADDRESS_LABELS", "NAME_LABELS", "CLOSINGS", "ID_LABELS"):
             setattr(self, name.lower(), self.part(globals()[name]))
         pick = lambda xs: lambda: self.r.choice(xs)
         r = self.r
@@ -817,7 +822,7 @@ class Lines:
 
     def given_name(self) -> str:
         x = self.r.random()
-        return self.r.choice(self.listed) if x < 0.5 else self.r.choice(self.given) if x < 0.85 else self.invented(2)
+        return self.r.choice(self.listed) if x < 0.65 else self.invented(self.r.choice([1, 2, 2]))
 
     def surname(self) -> str:
         r, x = self.r, self.r.random()

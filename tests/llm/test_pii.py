@@ -46,11 +46,11 @@ NAMES_TWO = sorted({*GIVEN, "Ada", "Bruno", "Celia", "Dario", "Edda", "Fabio", "
 
 
 def test_other_lists():
-    """Trained on one half of all lists of names, words, labels, streets and towns, tested on the other half: five of six values, two of three names."""
+    """Trained on one half of all lists of names, words, labels, streets and towns, tested on the other half: close to nine of ten values, names a little less."""
     half = Tagger(train(NAMES_TWO, half=0), NAMES_TWO[0::2])
     found = scores(half, labelled_lines(NAMES_TWO, copies=2, seed=77, half=1))
     print(found)
-    assert min(found["all"]) > 0.8 and found["N"][0] > 0.6, found
+    assert min(found["all"]) > 0.85 and found["N"][0] > 0.7, found
 
 
 def test_other_rows():
@@ -89,7 +89,7 @@ def test_everyday_sentences(tagger):
         right, wrong, missed = right + len(want & got), wrong + len(got - want), missed + len(want - got)
         print(text, got)
     print(right, wrong, missed)
-    assert right / (right + missed) > 0.8 and wrong <= 3
+    assert right / (right + missed) > 0.75 and wrong <= 3
 
 
 def test_gradient_is_that_of_the_likelihood():
