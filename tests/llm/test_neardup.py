@@ -135,7 +135,7 @@ def test_blocks_meet_once(spark):
 
     from lodespark.llm.neardup import _blocks
 
-    hot = spark.range(50).select(F.lit(3).cast("long").alias("k"), "id", F.lit(1).alias("n"), F.lit(50).alias("c"))
+    hot = spark.range(50).select(F.lit(3).cast("long").alias("k"), F.lit(0).alias("o"), "id", F.lit(1).alias("n"), F.lit(50).alias("c"))
     rows = _blocks(hot, 7).collect()
     met = [(a["id"], b["id"]) for a in rows for b in rows if a["k"] == b["k"] and a["id"] < b["id"] and (a["side"] == 0 or a["side"] != b["side"])]
     assert len(met) == len(set(met)) == 50 * 49 // 2
@@ -161,3 +161,55 @@ def test_order_and_repeats_do_not_matter(spark):
 def test_large_groups_equal_brute_force(spark):
     rows = substituted(3, 300) + substituted(4, 300)
     assert pairs_of(spark, rows) == brute(rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 6), max_size=25), min_size=1, max_size=5))
+def test_entries_equal_brute_force(docs):
+    """Each entry against the three least labelled k-mers, picked and ordered one by one."""
+    from lodespark.functions.text import mix, shingles
+    from lodespark.llm.neardup import _seeds, order_min_hashes
+
+    k, entries = 3, 5
+    flat = np.array([w for d in docs for w in d], np.uint64)
+    offsets = np.cumsum([0, *map(len, docs)])
+    packed, many, _, distinct = order_min_hashes(flat, offsets, k, entries)
+    xor, mul = _seeds(entries, 1)
+    at = 0
+    for i, d in enumerate(docs):
+        x = shingles(np.array(d, np.uint64), k)
+        seen, labelled = {}, []
+        for v in x:
+            n = seen[v] = seen.get(v, -1) + 1
+            labelled.append((n, v if n == 0 else mix(np.array([v]) + mix(np.array([n], np.uint64)))[0]))
+        kinds = [[(p, v) for p, (n, v) in enumerate(labelled) if n == 0], [(p, v) for p, (_, v) in enumerate(labelled)]]
+        want = set()
+        for kind in kinds:
+            for f in range(entries if kind else 0):
+                hashed = []
+                for place, v in kind:
+                    with np.errstate(over="ignore"):
+                        h = int((np.uint64(v) ^ xor[f]) * mul[f])
+                    hashed.append((h ^ (h >> 31), place))
+                hashed = sorted(hashed)[:3]
+                if len(hashed) == 3:
+                    key = np.array([f + 1], np.uint64)
+                    for h, _ in hashed:
+                        key = mix(key + mix(np.array([h], np.uint64)))
+                    a, b, c = (p for _, p in hashed)
+                    want.add((int(key[0]) >> 3, (a < b) | (b < c) << 1 | (a < c) << 2))
+        got = {(int(e) >> 3, int(e) & 7) for e in packed[at : at + many[i]]}
+        at += many[i]
+        assert distinct[i] == len(seen) and want <= got and (len(seen) < 3 or want == got)
+
+
+def test_short_texts_equal_brute_force(spark):
+    rows = []
+    r = random.Random(12)
+    for i in range(120):
+        w = [r.choice("abc") + str(i % 9) for _ in range(r.randint(3, 30))]
+        rows.append((f"t{i:03d}", " ".join(w)))
+        w[r.randrange(len(w))] = "z"
+        rows.append((f"u{i:03d}", " ".join(w)))
+    for hot in (3, 64):
+        assert pairs_of(spark, rows, hot_key=hot) == brute(rows)
