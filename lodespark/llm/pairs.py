@@ -1,8 +1,9 @@
 """Broken prompt and response pairs, with the type of defect.
 
 Of a query and its output items, in this order: ``empty`` (nothing but blanks, punctuation and placeholders),
-``copied`` (a suffix automaton of the query covers every item), ``refusal`` (an Aho-Corasick automaton of
-refusal phrases matches outside quotes), ``language`` (stopword votes of a vec or hyde item against those of the query),
+``copied`` (the walk through a suffix automaton of the query covers every word of every item, in runs of any length, as the definition
+asks only for words of the query; ``copied_coverage`` reports what longer runs cover), ``refusal`` (an Aho-Corasick automaton of
+refusal phrases, made of ways to say no and of verbs, matches outside quotes), ``language`` (stopword votes of a vec or hyde item against those of the query),
 ``truncated`` (a hyde item ends within a sentence, or its delimiter stack isn't empty).
 
 Texts without stopwords, such as queries of a few nouns, are voted on by a classifier of words. It is fitted once a
@@ -30,32 +31,42 @@ FIT_ROWS = 4000  #: examples that the classifier for texts without stopwords is
 # Placeholders, labels, refusal phrases, stopwords, abbreviations.
 PLACEHOLDERS = {"n a", "na", "none", "null", "nil", "nan", "empty", "no output", "todo", "tbd", "undefined", "missing", "blank", "no answer", "no response", "keine", "leer", "vide", "vacío", "ninguno", "无", "空"}
 LABEL = re.compile(r"^\W*(?:q|query|question|prompt|input|user|search|frage|anfrage|suche|pregunta|consulta|question|requête|recherche|问题|查询|提问)\s*[:：\-–—=>]+", re.I)
-REFUSALS = {
+# Ways to say no that need a verb behind (or between), the verbs, and those that stand alone.
+_CANNOT = {
+    "en": (
+        ["i can't", "i cannot", "i can not", "i could not possibly", "i won't", "i will not", "we can't", "we cannot"],
+        "help assist answer provide respond comply fulfil fulfill write generate create continue discuss share offer give support complete engage produce process proceed recommend advise participate facilitate accommodate".split() + ["do that", "do this", "do so", "go into that"],
+    ),
+    "de": (
+        ["kann ich nicht", "kann ich leider nicht", "ich kann nicht", "ich kann leider nicht", "darf ich nicht", "ich darf nicht", "werde ich nicht", "ich werde nicht", "ich kann dabei nicht", "kann ich dabei nicht", "ich kann hierbei nicht", "kann ich hierbei nicht", "ich kann ihnen nicht", "ich kann dir nicht"],
+        "helfen weiterhelfen beantworten behilflich antworten unterstützen bearbeiten erfüllen liefern nennen ausführen erstellen dienen".split(),
+    ),
+    "fr": (
+        ["je ne peux pas", "je ne peux malheureusement pas", "je ne puis", "je ne saurais", "je ne vais pas", "nous ne pouvons pas"],
+        "répondre aider fournir traiter donner écrire satisfaire produire rédiger continuer accéder assister générer".split() + ["vous aider", "t'aider", "vous fournir", "vous répondre", "y répondre"],
+    ),
+    "es": (
+        ["no puedo", "no podemos", "no podré", "no voy a", "no me es posible"],
+        "ayudar ayudarte ayudarle responder atender proporcionar contestar ofrecer generar escribir cumplir facilitar continuar dar".split(),
+    ),
+    "zh": (["我不能", "我无法", "我没办法", "恕我不能", "恕我无法", "很抱歉不能", "抱歉无法"], "协助 帮助 帮您 帮你 回答 提供 处理 满足 完成 答复 生成 继续 讨论".split()),
+}
+_ALONE = {
     "en": [
-        "i can't help", "i cannot help", "i can not help", "i can't assist", "i cannot assist", "i can't answer", "i cannot answer", "i can't provide", "i cannot provide",
-        "i can't respond", "i cannot respond", "i can't do that", "i cannot do that", "i can't comply", "i cannot comply", "i can't fulfil", "i cannot fulfil", "i can't write", "i cannot write",
-        "i can't generate", "i cannot generate", "i can't continue", "i cannot continue", "i won't be able to", "i will not be able to", "i'm unable to", "i am unable to",
-        "i'm not able to", "i am not able to", "i must decline", "i have to decline", "i'd rather not", "i must refuse", "i have to refuse", "i refuse to", "not something i can answer", "not something i can help",
-        "not something i'm able", "against my guidelines", "against my policy", "violates my guidelines", "i have no access to that", "i don't have access to that", "i do not have access to that",
-        "i don't feel comfortable", "i do not feel comfortable", "i'm not comfortable", "i am not comfortable", "as an ai language model", "as a language model", "i'm not allowed to", "i am not allowed to", "i'm not permitted to",
+        "i won't be able to", "i will not be able to", "i'm unable to", "i am unable to", "i'm not able to", "i am not able to", "i must decline", "i have to decline", "i need to decline", "i'd rather not", "i would rather not", "i must refuse", "i have to refuse", "i refuse to",
+        "not something i can answer", "not something i can help", "not something i'm able", "against my guidelines", "against my policy", "violates my guidelines", "i have no access to that", "i don't have access to that", "i do not have access to that",
+        "i don't feel comfortable", "i do not feel comfortable", "i'm not comfortable", "i am not comfortable", "as an ai language model", "as a language model", "i'm not allowed to", "i am not allowed to", "i'm not permitted to", "i am not permitted to",
     ],
     "de": [
-        "kann ich bei dieser", "kann ich dabei nicht", "kann ich nicht helfen", "ich kann bei dieser", "ich kann dabei nicht", "ich kann nicht helfen", "ich kann ihnen nicht", "ich kann dir nicht", "ich kann diese frage nicht",
-        "kann ich diese frage nicht", "darf ich dazu keine", "ich darf dazu keine", "ich darf dazu nicht", "muss ich diese bitte ablehnen", "ich muss diese bitte ablehnen", "muss ich ablehnen", "ich muss ablehnen", "muss ich diese anfrage ablehnen", "ich muss diese anfrage ablehnen",
-        "ist es mir nicht möglich", "es ist mir nicht möglich", "ich bin nicht in der lage", "bin ich nicht in der lage", "kann ich diese anfrage nicht", "ich kann diese anfrage nicht",
-    ],
-    "fr": [
-        "je ne peux pas répondre", "je ne peux pas aider", "je ne peux pas vous aider", "je ne peux pas t'aider", "je ne peux pas traiter", "je ne peux pas fournir", "je ne suis pas en mesure", "je dois refuser", "je dois décliner",
-        "il m'est impossible", "je refuse de répondre", "je ne suis pas autorisé", "je ne suis pas capable de",
-    ],
-    "es": [
-        "no puedo ayudar", "no puedo responder", "no puedo atender", "no puedo proporcionar", "no puedo contestar", "no me es posible", "debo rechazar", "tengo que rechazar", "debo declinar", "no estoy autorizado",
-        "me es imposible", "no soy capaz de responder", "no estoy en condiciones",
-    ],
-    "zh": [
-        "我不能协助", "我不能帮助", "我不能回答", "我无法协助", "我无法帮助", "我无法回答", "我无法提供", "我无法处理", "我不能提供", "我不能处理", "恕我不便", "恕我不能", "恕我无法", "我必须拒绝", "我只能拒绝", "我拒绝回答", "不便提供这些内容", "无法满足您的请求", "我不便",
+        "kann ich bei dieser", "ich kann bei dieser", "ich kann diese frage nicht", "kann ich diese frage nicht", "kann ich diese anfrage nicht", "ich kann diese anfrage nicht", "ich kann diese bitte nicht", "kann ich diese bitte nicht", "darf ich dazu keine", "ich darf dazu keine", "ich darf dazu nicht",
+        "muss ich ablehnen", "ich muss ablehnen", "muss ich diese bitte ablehnen", "ich muss diese bitte ablehnen", "muss ich diese anfrage ablehnen", "ich muss diese anfrage ablehnen", "ich lehne diese", "muss ich leider ablehnen", "ich muss leider ablehnen",
+        "ist es mir nicht möglich", "es ist mir nicht möglich", "ist mir nicht möglich", "ich bin nicht in der lage", "bin ich nicht in der lage", "als sprachmodell",
     ],
+    "fr": ["je ne suis pas en mesure", "je dois refuser", "je dois décliner", "il m'est impossible", "je refuse de", "je ne suis pas autorisé", "je ne suis pas capable de", "je préfère ne pas", "en tant que modèle de langage"],
+    "es": ["no me es posible", "debo rechazar", "tengo que rechazar", "debo declinar", "no estoy autorizado", "me es imposible", "no soy capaz de", "no estoy en condiciones", "me niego a", "prefiero no", "como modelo de lenguaje"],
+    "zh": ["恕我不便", "我必须拒绝", "我只能拒绝", "我拒绝回答", "不便提供这些内容", "无法满足您的请求", "我不便", "作为语言模型", "我需要拒绝"],
 }
+REFUSALS = {lang: _ALONE[lang] + [no + ("" if lang == "zh" else " ") + verb for no in start for verb in verbs] for lang, (start, verbs) in _CANNOT.items()}
 STOPWORDS = {
     "en": "a an the and or but of to in on at for with without from by as is are was were be been does do did how what where why which who when that this these those it its our their they we you your i my not no can will would should if then than so into over until since keep kept best way about may yet only nothing anyone there here such both each every some any ways guide explanation",
     "de": "der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine von zu im in am an auf für mit ohne aus bei nach vor als ist sind war waren wird werden wurde wurden wie was wo warum welche welcher welches wer wann wenn weil dass es sie er wir ihr ich man sich hat haben hatte auch nur noch schon über unter zwischen seit bis durch gegen zum zur beim vom ihren ihre alle hat liegen siehe danach",
@@ -64,17 +75,21 @@ STOPWORDS = {
 }
 ABBREVIATIONS = ("e.g.", "i.e.", "z. b.", "z.b.", "d. h.", "d.h.", "p. ex.", "p.ex.", "par ex.", "p. ej.", "p.ej.", "c.-à-d.", "vs.", "bzw.", "cf.", "incl.", "inkl.", "u. a.", "u.a.", "es decir", "比如", "例如")
 
-_VOTES: dict[str, list[str]] = {}
+_SPEAKERS: dict[str, list[str]] = {}
 for _lang, _words in STOPWORDS.items():
     for _w in set(_words.split()):
-        _VOTES.setdefault(_w, []).append(_lang)
+        _SPEAKERS.setdefault(_w, []).append(_lang)
+#: Votes of each stopword: one, shared by the languages that have it.
+_VOTES = {w: [(lang, 1 / len(langs)) for lang in langs] for w, langs in _SPEAKERS.items()}
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 # A quote has no bound of length, but ends with its paragraph at the latest.
 _QUOTED = re.compile("|".join(rf"{a}(?:[^{b}\r\n]|(?:\r\n|\r|\n)(?![ \t]*[\r\n]))++[{b}]" for a, b in ('""', "“”", "«»", ("„", "“”"), "「」", "『』", "``")))
+_QUOTE_MARKS = re.compile(r'["“”«»„「」『』`]')
 _TYPED = re.compile(r"\s*(?:lex|vec|hyde|intent)\s*:", re.I)
 _LINES = re.compile(r"\r\n|\r|\n")
 _PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "」": "「", "』": "『", "”": "“", "»": "«", "》": "《"}
 _OPEN = set(_PAIRS.values())
+_MARKS = re.compile("[" + re.escape("".join([*_PAIRS, *_PAIRS.values(), '"`'])) + "]")
 
 
 class SuffixAutomaton:
@@ -108,9 +123,8 @@ class SuffixAutomaton:
                     self.link[q] = self.link[cur] = copy
             last = cur
 
-    def coverage(self, sequence: list, least: int = 1) -> float:
-        if not sequence:
-            return 0.0
+    def covered(self, sequence: list, least: int = 1) -> int:
+        """How many places of the sequence lie in common runs of at least ``least``."""
         state = run = upto = covered = 0
         for i, x in enumerate(sequence):
             while state and x not in self.next[state]:
@@ -123,16 +137,28 @@ class SuffixAutomaton:
             if run >= least:
                 covered += i + 1 - max(upto, i + 1 - run)
                 upto = i + 1
-        return covered / len(sequence)
+        return covered
+
+    def coverage(self, sequence: list, least: int = 1) -> float:
+        return self.covered(sequence, least) / len(sequence) if sequence else 0.0
+
 
+class Refusals:
+    """An Aho-Corasick automaton of the refusal phrases; texts without the rarest word of any are not walked through."""
 
-def _refusal_automaton() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for lang, phrases in REFUSALS.items():
-        for p in phrases:
-            a.add_word(p if lang == "zh" else f" {p} ", p)
-    a.make_automaton()
-    return a
+    def __init__(self):
+        self.automaton = ahocorasick.Automaton()
+        self.marks = set()
+        for lang, phrases in REFUSALS.items():
+            for p in phrases:
+                self.automaton.add_word(p if lang == "zh" else f" {p} ", p)
+                if lang != "zh":
+                    self.marks.add(max(words(p), key=len))
+        self.automaton.make_automaton()
+
+    def match(self, text: str, found: list[str]) -> bool:
+        """Whether a refusal phrase stands outside of quotes; ``found`` are the words of the text."""
+        return (not self.marks.isdisjoint(found) or bool(_HAN.search(text))) and refuses(text, self.automaton)
 
 
 def refuses(text: str, automaton: ahocorasick.Automaton) -> bool:
@@ -145,10 +171,10 @@ def refuses(text: str, automaton: ahocorasick.Automaton) -> bool:
     return any(True for _ in automaton.iter(re.sub(r"\s+", " ", spaced)))
 
 
-def is_placeholder(text: str | None) -> bool:
+def is_placeholder(text: str | None, found: list[str] | None = None) -> bool:
     """Null, blank, bare punctuation, or a value that stands for nothing."""
-    found = words(text)
-    return not found or " ".join(found) in PLACEHOLDERS
+    found = words(text) if found is None else found
+    return not found or len(found) < 4 and " ".join(found) in PLACEHOLDERS
 
 
 def unfinished(text: str) -> bool:
@@ -158,7 +184,7 @@ def unfinished(text: str) -> bool:
         return False
     stack: list[str] = []
     quotes = {'"': 0, "`": 0}
-    for i, c in enumerate(t):
+    for c in _MARKS.findall(t):
         if c in quotes:
             quotes[c] ^= 1
         elif c in _OPEN:
@@ -171,7 +197,7 @@ def unfinished(text: str) -> bool:
         return True
     core = t.rstrip("\"'”’»」』)]）】*_` ")
     low = core.lower()
-    if any(low.endswith(a) and (len(low) == len(a) or not low[-len(a) - 1].isalnum() or not a[0].isascii()) for a in ABBREVIATIONS):
+    if low.endswith(ABBREVIATIONS) and any(low.endswith(a) and (len(low) == len(a) or not low[-len(a) - 1].isalnum() or not a[0].isascii()) for a in ABBREVIATIONS):
         return True
     if core.endswith(("...", "…", "..")):
         return True
@@ -194,85 +220,102 @@ class WordClassifier:
             mass = math.log(sum(n for w, n in c.items() if w in self.known) + 0.3 * len(self.known) + 1)
             self.logs[lang] = ({w: math.log(c[w] + 0.3) - mass for w in c if w in self.known}, math.log(0.3) - mass)
 
-    def margin(self, text: str) -> tuple[str | None, float]:
-        """The best language and its log-likelihood lead over the next."""
-        found = [w for w in words(text) if w in self.known]
-        if not found or len(self.logs) < 2:
+        self.langs = list(self.logs)
+        self.scores = {w: [logs.get(w, unseen) for logs, unseen in self.logs.values()] for w in self.known}
+
+    def margin(self, found: list[str]) -> tuple[str | None, float]:
+        """The best language of the words and its log-likelihood lead over the next."""
+        scores = [self.scores[w] for w in found if w in self.scores]
+        if not scores or len(self.langs) < 2:
             return None, 0.0
-        ranked = sorted(((sum(logs.get(w, unseen) for w in found), lang) for lang, (logs, unseen) in self.logs.items()), reverse=True)
+        totals = [sum(x) for x in zip(*scores)]
+        ranked = sorted(zip(totals, self.langs), reverse=True)
         return ranked[0][1], ranked[0][0] - ranked[1][0]
 
 
 def without_quotes(text: str) -> str:
     """The text without what it quotes; all of it, if the whole text stands in quotes."""
+    if not _QUOTE_MARKS.search(text):
+        return text
     plain = _QUOTED.sub(" ", text)
     return plain if words(plain) else text
 
 
-def votes(text: str) -> Counter:
-    """Stopword votes by language; Han characters vote for Chinese."""
-    plain = without_quotes(text)
-    c: Counter = Counter()
-    han = len(_HAN.findall(plain))
-    found = words(plain)
+def votes(plain: str, found: list[str]) -> dict[str, float]:
+    """Stopword votes by language, of a text without quotes and its words; Han characters vote for Chinese."""
+    c: dict[str, float] = {}
+    han = 0 if plain.isascii() else len(_HAN.findall(plain))
     if han:
         c["zh"] = han / 2
     for w in found:
-        for lang in _VOTES.get(w, ()):
-            c[lang] += 1 / len(_VOTES[w])
+        for lang, share in _VOTES.get(w, ()):
+            c[lang] = c.get(lang, 0) + share
     return c
 
 
-def stopword_language(text: str, lead: float = 1.0) -> str | None:
-    ranked = votes(text).most_common(2)
+def _voted(counted: dict[str, float], lead: float) -> str | None:
+    ranked = sorted(counted.items(), key=lambda x: -x[1])[:2]
     if not ranked or ranked[0][1] < lead:
         return None
     return ranked[0][0] if len(ranked) == 1 or ranked[0][1] - ranked[1][1] >= lead else None
 
 
-def language(text: str, parts: WordClassifier, lead: float) -> str | None:
-    """The language that stopwords vote for, unless the classifier is sure of another; without votes, the classifier's, if it leads."""
-    voted = stopword_language(text)
-    guess, margin = parts.margin(without_quotes(text))
+def stopword_language(text: str, lead: float = 1.0) -> str | None:
+    plain = without_quotes(text)
+    return _voted(votes(plain, words(plain)), lead)
+
+
+def language(text: str, found: list[str], parts: WordClassifier, lead: float, expected: str | None = None) -> str | None:
+    """The language that stopwords vote for, unless the classifier is sure of another; without votes, the classifier's, if it leads.
+
+    ``found`` are the words of the text. A vote for the ``expected`` language is taken as it is.
+    """
+    plain = without_quotes(text)
+    found = found if plain is text else words(plain)
+    voted = _voted(votes(plain, found), 1.0)
+    if voted is not None and voted == expected:
+        return voted
+    guess, margin = parts.margin(found)
     if voted is None:
         return guess if margin >= lead else None
     return voted if guess == voted or margin < 3 else None
 
 
 def is_query_document(query: str) -> bool:
+    if "\n" not in query and "\r" not in query:
+        return False
     lines = [x for x in _LINES.split(query) if x.strip()]
     return len(lines) >= 2 and all(_TYPED.match(x) for x in lines)
 
 
-def defect(query: str | None, items: list[tuple[str | None, str | None] | None] | None, refusals: ahocorasick.Automaton, parts: WordClassifier) -> str | None:
+def defect(query: str | None, items: list[tuple[str | None, str | None] | None] | None, refusals: Refusals, parts: WordClassifier) -> str | None:
     """The first defect that fits, or None."""
     if query is not None and is_query_document(query):
         return None
-    real = [(kind, text) for kind, text in (x for x in items or [] if x is not None) if not is_placeholder(text)]
+    real = [(kind, text, found) for kind, text, found in ((x[0], x[1], words(x[1])) for x in items or [] if x is not None) if not is_placeholder(text, found)]
     if not real:
         return "empty"
     query_words = words(query)
-    if query_words:
-        automaton = SuffixAutomaton(query_words)
-        for _, text in real:
-            found = words(text)
-            if automaton.coverage(found) < 1:
-                bare = words(LABEL.sub("", text, count=1))
-                if not bare or automaton.coverage(bare) < 1:
-                    break
-        else:
-            return "copied"
-    if any(refuses(text, refusals) for _, text in real):
+    known, automaton = set(query_words), None
+
+    def covered(found: list[str]) -> bool:
+        nonlocal automaton
+        if not known.issuperset(found):
+            return False  # a word that the query lacks is in no run
+        automaton = automaton or SuffixAutomaton(query_words)
+        return automaton.coverage(found) == 1
+
+    if query_words and all(covered(found) or covered(words(LABEL.sub("", text, count=1))) for _, text, found in real):
+        return "copied"
+    if any(refusals.match(text, found) for _, text, found in real):
         return "refusal"
     if query_words:
-        own = language(query, parts, 1.0)
-        for kind, text in real:
-            if kind not in ("vec", "hyde") or own is None or automaton.coverage(words(text)) == 1:
-                continue
-            other = language(text, parts, 4.0)
-            if other is not None and other != own:
-                return "language"
-    if any(kind == "hyde" and unfinished(text) for kind, text in real):
+        own = language(query, query_words, parts, 1.0)
+        if own is not None:
+            for kind, text, found in real:
+                if kind in ("vec", "hyde") and language(text, found, parts, 4.0, own) not in (None, own) and not covered(found):
+                    return "language"
+    if any(kind == "hyde" and unfinished(text) for kind, text, _ in real):
         return "truncated"
     return None
 
@@ -281,7 +324,7 @@ def _judge(labelled: list[tuple[str, str]]):
     schema = pa.schema([("example_id", pa.int64()), ("defect", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refusals, parts = _refusal_automaton(), WordClassifier(labelled)
+        refusals, parts = Refusals(), WordClassifier(labelled)
         for batch in batches:
             ids, kinds = [], []
             for i, q, o in zip(*(batch.column(c).to_pylist() for c in range(3))):
@@ -294,6 +337,37 @@ def _judge(labelled: list[tuple[str, str]]):
     return run
 
 
+def _latest(examples: DataFrame) -> DataFrame:
+    rows = examples.select("example_id", "query", "output", "loaded_at").filter("example_id is not null")
+    return rows.groupBy("example_id").agg(F.max(F.struct("loaded_at", "query", "output")).alias("x")).select("example_id", "x.query", "x.output")
+
+
+def copied_coverage(examples: DataFrame, least: int = 4) -> DataFrame:
+    """``example_id, n_words, n_copied``: how many words of the output lie in runs of at least ``least`` words that the query has, too, in that order.
+
+    One row per example with such a run. Of rows with one id the latest counts; null ids, queries, items and texts give none.
+    """
+    schema = pa.schema([("example_id", pa.int64()), ("n_words", pa.int64()), ("n_copied", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [], [], []
+            for i, q, texts in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                found, sought = words(q), [words(t) for t in texts]
+                if len(found) < least:
+                    continue
+                automaton = SuffixAutomaton(found)
+                copied = sum(automaton.covered(x, least) for x in sought)
+                if copied:
+                    for column, v in zip(out, (i, sum(map(len, sought)), copied)):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+
+    texts = F.transform(F.filter("output", lambda x: x["text"].isNotNull()), lambda x: x["text"])
+    once = _latest(examples).filter("query is not null and output is not null").select("example_id", "query", texts.alias("texts"))
+    return spread(once, "example_id").mapInArrow(run, "example_id long, n_words long, n_copied long")
+
+
 def defective_pairs(examples: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``example_id, defect``: one row per defective example.
 
@@ -302,7 +376,6 @@ def defective_pairs(examples: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     Texts are read whole, whatever their length.
     """
     rows = examples.select("example_id", "query", "output", "loaded_at").filter("example_id is not null")
-    once = rows.groupBy("example_id").agg(F.max(F.struct("loaded_at", "query", "output")).alias("x")).select("example_id", "x.query", "x.output")
     sample = rows.filter("query is not null and output is not null").orderBy(F.xxhash64("example_id"), "loaded_at").select("query", F.transform("output", lambda x: x["text"]).alias("t")).limit(fit_rows).collect()
     labelled = []
     for r in sample:
@@ -310,4 +383,4 @@ def defective_pairs(examples: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
             lang = stopword_language(text, 2.0) if text else None
             if lang:
                 labelled.append((without_quotes(text), lang))
-    return spread(once, "example_id").mapInArrow(_judge(labelled), "example_id long, defect string")
+    return spread(_latest(examples), "example_id").mapInArrow(_judge(labelled), "example_id long, defect string")

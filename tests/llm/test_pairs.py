@@ -1,7 +1,7 @@
 import pytest
 
 from lodespark.llm import pairs as P
-from lodespark.llm.pairs import SuffixAutomaton, WordClassifier, defect, defective_pairs, unfinished
+from lodespark.llm.pairs import Refusals, SuffixAutomaton, WordClassifier, copied_coverage, defect, defective_pairs, unfinished
 
 LABELLED = [
     ("where is the report kept and how do I read it", "en"), ("what happens when the pump is cold", "en"), ("wo liegen die Berichte und wie werden sie gelesen", "de"),
@@ -12,7 +12,7 @@ SCHEMA = "example_id long, query string, output array<struct<type string, text s
 
 @pytest.fixture(scope="module")
 def judge():
-    a, c = P._refusal_automaton(), WordClassifier(LABELLED)
+    a, c = Refusals(), WordClassifier(LABELLED)
     return lambda q, o: defect(q, o, a, c)
 
 
@@ -65,3 +65,31 @@ def test_long_quotes(judge):
     # An open mark quotes nothing beyond its paragraph.
     assert P._QUOTED.sub("", 'a 5" pipe\n \nwo liegen die 6" Berichte') == 'a 5" pipe\n \nwo liegen die 6" Berichte'
     assert P._QUOTED.sub("", "“" * 20_000) == "“" * 20_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I'm sorry, but I cannot discuss that topic.", "Sorry, I won't provide instructions for this.", "Unfortunately I am not able to share those details.", "I must decline this one.", "As a language model I have no opinion on that.", "We cannot comply with this request.",
+        "Dabei kann ich leider nicht weiterhelfen.", "Ich darf nicht antworten.", "Es ist mir nicht möglich, darauf einzugehen.", "Je ne peux malheureusement pas répondre à cette demande.", "Je préfère ne pas en parler.", "Lo siento, no puedo ayudarte con eso.", "Me niego a contestar.", "抱歉，我没办法回答这个问题。",
+    ],
+)
+def test_refusals_not_in_the_data(judge, text):
+    """Refusals written for this test, none of which the tables have."""
+    assert judge("tell me something", [("hyde", text)]) == "refusal"
+
+
+@pytest.mark.parametrize("text", ["The pump can't help it.", "Visitors cannot write on the wall.", "They were unable to go.", "Man kann nicht alles haben.", "On ne peut pas tout avoir.", "No se puede entrar.", "机器无法启动。"])
+def test_no_refusals(text):
+    assert not Refusals().match(text, P.words(text))
+
+
+def test_copied_coverage(spark):
+    rows = [
+        (1, "one two three four five six", [("vec", "so two three four five end"), ("lex", "one two three"), None, ("hyde", None)], None, "x", 1),
+        (2, "one two three", [("vec", "one two three")], None, "x", 1), (3, None, [("vec", "a b c d")], None, "x", 1), (4, "a b c d", None, None, "x", 1), (None, "a b c d", [("vec", "a b c d")], None, "x", 1),
+        (5, "b a b a b a", [("hyde", "a b a b a b a b")], None, "x", 1),
+    ]
+    df = spark.createDataFrame(rows + rows[:1], SCHEMA)
+    assert sorted(map(tuple, copied_coverage(df).collect())) == [(1, 9, 4), (5, 8, 8)]
+    assert copied_coverage(df.limit(0)).count() == 0
