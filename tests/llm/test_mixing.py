@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from lodespark.llm.mixing import entropy, mix_sources, mixture, temperature_weights
+from lodespark.llm.mixing import entropy, mix_sources, mixture, share_exponent, temperature_weights
 
 DOCS = "doc_id long, text string, source string, tokens int, target_share double, block int"
 TARGETS = "source string, target_share double, max_repeats int, tokens int"
@@ -40,6 +40,7 @@ def test_shares_and_repeats(spark):
     total = sum(used.values())
     out = {x["source"]: x for x in shares.collect()}
     for s, share in (("big_one", 0.5), ("mid", 0.3), ("small", 0.2)):
+        assert out[s]["budget_tokens"] - 200 < out[s]["used_tokens"] <= out[s]["budget_tokens"] and out[s]["most_repeats"] <= out[s]["max_repeats"]
         assert out[s]["used_tokens"] == used[s] and out[s]["actual_share"] == pytest.approx(used[s] / total)
         assert abs(used[s] / total - share) < 200 / total
     # The scarcest source is used up.
@@ -63,8 +64,14 @@ def test_exponents():
     assert temperature_weights({"a": 5}, 0.5) == ({"a": 1.0}, 1.0)
     # More than the targets allow: the exponent moves towards the shares as they are, until nothing is repeated too often.
     w, total, t = mixture({"a": 1000, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}, total=500)
-    assert 0 < t < 1 and w["b"] * total <= 20 + 1e-6 and total == pytest.approx(500)
-    assert mixture({}, {"a": 1.0}, {"a": 1}) == ({}, 0.0, 1.0)
+    assert 0 < t["b"] < 1 < t["a"] and w["b"] * total <= 20 + 1e-6 and total == pytest.approx(500)
+    assert mixture({}, {"a": 1.0}, {"a": 1}) == ({}, 0.0, {})
+    # Without a total: the targets, by an exponent each, and as much as the limits allow.
+    w, total, t = mixture({"a": 1000, "b": 10}, {"a": 0.6, "b": 0.4}, {"a": 1, "b": 2})
+    assert w == pytest.approx({"a": 0.6, "b": 0.4}, abs=1e-12) and total == pytest.approx(50)
+    assert t == pytest.approx({"a": math.log(0.6) / math.log(1000 / 1010), "b": math.log(0.4) / math.log(10 / 1010)}, rel=1e-9)
+    for natural, target in ((0.5, 0.5), (0.999999, 1e-6), (1e-9, 0.9), (1.0, 1.0), (0.3, 1.0)):
+        assert natural ** share_exponent(natural, target) == pytest.approx(target, rel=1e-9)
 
 
 def test_target_entropy(spark):
