@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TYPED = r"(?iUs)^\s*(lex|vec|hyde|intent)\s*:"
-_SALTS = 16
+PER_SALT = 1_000_000  #: members of a group that meet its first record under one salt
 
 
 def normalised(text: Column) -> Column:
@@ -48,7 +48,7 @@ def _same_fields(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(a, lambda x: count(a, x) == count(b, x))
 
 
-def formatting_copies(records: DataFrame, key: str, query: str, version: str) -> DataFrame:
+def formatting_copies(records: DataFrame, key: str, query: str, version: str, per_salt: int = PER_SALT) -> DataFrame:
     """``key, first_key, n_copies`` for each record: the least key of its group and the group's size.
 
     ``records`` needs a unique-after-delivery ``key``, a text column ``query`` and a column ``version`` to order
@@ -61,9 +61,13 @@ def formatting_copies(records: DataFrame, key: str, query: str, version: str) ->
     known = rows.filter("q is not null").select("key", query_fields(F.col("q")).alias("fields"))
     known = known.select("key", "fields", _fingerprint(F.col("fields")).alias("fp"))
     groups = known.groupBy("fp").agg(F.min(F.struct("key", "fields")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    # A hot group's members are spread by salt; its one row is repeated for each salt. Most queries are in no group.
-    groups = groups.select("fp", "first", "c", F.explode(F.array([F.lit(i) for i in range(_SALTS)])).alias("salt"))
-    every = known.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")).join(groups, ["fp", "salt"], "left")
+    # A large group's row is repeated for as many salts as its size asks for, and its members are spread over them; others have one.
+    # What is broadcast is one row of 30 bytes a large group, so at most one for every million records: 30 MB at 10 ** 12.
+    salts = F.ceil(F.col("c") / per_salt).cast("int")
+    large = F.broadcast(groups.filter(F.col("c") > per_salt).select("fp", salts.alias("salts")))
+    salted = groups.select("fp", "first", "c", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    spread_out = known.join(large, "fp", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("key"), F.col("salts"))).cast("int")).drop("salts")
+    every = spread_out.join(salted, ["fp", "salt"], "left")
     member = every.filter("c is not null")
     judged = member.withColumn("same", _same_fields(F.col("fields"), F.col("first.fields")))
     odd = judged.filter("not same").select("key", F.concat_ws("\n", F.array_sort(F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["value"])))).alias("exact"))

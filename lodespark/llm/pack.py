@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from lodespark.session import cut_lineage
 
 BUCKETS = 64
-_BROADCAST_ROWS = 200_000
 
 
 class _Histogram:
@@ -157,17 +156,18 @@ def pack_items(items: DataFrame, budgets: DataFrame) -> DataFrame:
     filled = pieces.filter("capacity is not null and piece_length > 0")
     counts = cut_lineage(filled.groupBy("work_class", "capacity", "piece_length", "bucket").agg(F.count(F.lit(1)).alias("c")))
     before = Window.partitionBy("work_class", "piece_length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("work_class", "piece_length", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
     hist = counts.groupBy("work_class", "capacity", "piece_length").agg(F.sum("c").alias("c"))
     runs = hist.groupBy("work_class").applyInPandas(
         _solve, "work_class string, piece_length int, from_rank long, to_rank long, each int, first_container long"
     )
-    runs = cut_lineage(runs.groupBy("work_class", "piece_length").agg(F.collect_list(F.struct("from_rank", "to_rank", "each", "first_container")).alias("runs")))
-    # One row a class and length: bounded by the capacities, and checked.
-    small = F.broadcast if runs.count() <= _BROADCAST_ROWS else (lambda df: df)
+    # Each bucket holds the items of ranks ``offset`` to ``offset + c - 1`` of its length, and gets only the runs that these meet: no item
+    # looks through all runs of its length, and the runs of a bucket go where its items are numbered, by the same key.
+    spans = counts.select("work_class", "piece_length", "bucket", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    meets = (F.col("from_rank") < F.col("offset") + F.col("c")) & (F.col("to_rank") > F.col("offset"))
+    spans = spans.join(runs, ["work_class", "piece_length"]).filter(meets)
+    spans = spans.groupBy("work_class", "piece_length", "bucket", "offset").agg(F.sort_array(F.collect_list(F.struct("from_rank", "to_rank", "each", "first_container"))).alias("runs"))
     own = Window.partitionBy("work_class", "piece_length", "bucket").orderBy("batch_id", "item_idx", "piece_no")
-    ranked = filled.withColumn("nth", F.row_number().over(own) - 1).join(offsets, ["work_class", "piece_length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("offset") + F.col("nth")).join(small(runs), ["work_class", "piece_length"])
+    ranked = filled.withColumn("nth", F.row_number().over(own) - 1).join(spans, ["work_class", "piece_length", "bucket"]).withColumn("rank", F.col("offset") + F.col("nth"))
     run = F.filter("runs", lambda r: (r["from_rank"] <= F.col("rank")) & (F.col("rank") < r["to_rank"]))[0]
     out = ["batch_id", "item_idx", "work_class", "piece_no", "piece_start", "piece_length"]
     placed = ranked.withColumn("r", run).select(*out, (F.col("r.first_container") + F.floor((F.col("rank") - F.col("r.from_rank")) / F.col("r.each"))).alias("container_no"))

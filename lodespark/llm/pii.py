@@ -474,6 +474,31 @@ def _tagged(docs: DataFrame, given_names: DataFrame, key: str, text: str, replac
     return spread(rows, "doc_id").mapInArrow(_run(_model(tuple(given)), given, replace), "doc_id long, redacted string, found array<struct<pii_kind string, pii_text string>>")
 
 
+def tag_pii(docs: DataFrame, given_names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, redacted, found``: every row, redacted, with the kinds and values found in the order of the text."""
+    return _tagged(docs, given_names, key, text, True)
+
+
+def restore_pii(tagged: DataFrame) -> DataFrame:
+    """``doc_id, text``: what ``tag_pii`` has redacted, as it was (where no text held a placeholder of its own)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                parts, at = [], 0
+                for f in found or []:
+                    mark = f"[{f['pii_kind'].upper()}]"
+                    here = text.index(mark, at)
+                    parts += [text[at:here], f["pii_text"]]
+                    at = here + len(mark)
+                out.append(None if text is None else "".join([*parts, text[at:]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], schema=schema)
+
+    return tagged.select("doc_id", "redacted", "found").mapInArrow(run, "doc_id long, text string")
+
+
 def find_pii(docs: DataFrame, given_names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, pii_kind, pii_text``: one row per distinct value in a document.
 

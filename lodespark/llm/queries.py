@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodespark.llm import curation
 from lodespark.llm.leaks import leaked_items
 from lodespark.llm.mixing import distinct_texts, mix_sources, source_name
-from lodespark.llm.pairs import copied_coverage, defective_pairs
-from lodespark.llm.pii import find_pii, redact_pii
+from lodespark.llm.pairs import PLACEHOLDERS, copied_coverage, defective_pairs
+from lodespark.llm.pii import find_pii, redact_pii, restore_pii, tag_pii
 from lodespark.session import table
 
 
@@ -21,6 +21,11 @@ def p1_summary(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("defect").agg(F.count(F.lit(1)).alias("n_examples"))
 
 
+def p1_plain_defects(spark: SparkSession, d: str) -> DataFrame:
+    """The defects that need no knowledge of languages: empty and copied."""
+    return p1_found(spark, d).filter("defect in ('empty', 'copied')")
+
+
 def p1_copied_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How much of each output is copied from its query in runs of four words or more."""
     return copied_coverage(table(spark, d, "training_examples"))
@@ -65,6 +70,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_pii(table(spark, d, "documents"), table(spark, d, "given_names"))
 
 
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as it was, from its redacted form and the values that were found in it, in their order."""
+    return restore_pii(tag_pii(table(spark, d, "documents"), table(spark, d, "given_names")))
+
+
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every text with typed placeholders."""
     return redact_pii(table(spark, d, "documents"), table(spark, d, "given_names"))
@@ -74,6 +84,7 @@ QUERIES = {
     **curation.QUERIES,
     "p1_found": p1_found,
     "p1_summary": p1_summary,
+    "p1_plain_defects": p1_plain_defects,
     "p1_copied_coverage": p1_copied_coverage,
     "p6_found": p6_found,
     "p6_items": p6_items,
@@ -83,6 +94,7 @@ QUERIES = {
     "p7_available": p7_available,
     "p8_found": p8_found,
     "p8_redacted": p8_redacted,
+    "p8_restored": p8_restored,
 }
 
 _TEXTS = r"""
@@ -118,6 +130,27 @@ e AS (SELECT item_id, list_filter(regexp_split_to_array(lower(content), '[^\p{L}
 dw AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM d WHERE len(w) >= 10),
 ew AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM e WHERE len(w) >= 10)
 SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)
+""",
+    "p6_items": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items WHERE content IS NOT NULL),
+dw AS (SELECT doc_id, unnest(range(1, len(w) - 8)) AS place, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM d WHERE len(w) >= 10),
+ew AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM e WHERE len(w) >= 10)
+SELECT item_id, count(DISTINCT doc_id) AS n_documents, count(*) AS n_windows FROM dw JOIN ew USING (g) GROUP BY item_id
+""",
+    "p8_restored": "SELECT doc_id, text FROM documents",
+    "p1_plain_defects": rf"""
+WITH x AS (SELECT example_id, query, output FROM training_examples WHERE example_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY loaded_at DESC) = 1),
+l AS (SELECT *, list_filter(regexp_split_to_array(query, '\r\n|\r|\n'), lambda q: regexp_replace(q, '[\s\p{{Z}}]', '', 'g') <> '') AS lines FROM x),
+k AS (SELECT example_id, query, coalesce(list_transform(list_filter(output, lambda o: o.text IS NOT NULL), lambda o: o.text), []) AS t FROM l
+      WHERE query IS NULL OR NOT (len(lines) >= 2 AND len(list_filter(lines, lambda q: NOT regexp_matches(q, '^[\s\p{{Z}}]*(lex|vec|hyde|intent)[\s\p{{Z}}]*:', 'i'))) = 0)),
+i AS (SELECT example_id, query, unnest(t) AS text FROM k),
+w AS (SELECT example_id, list_filter(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+'), lambda v: v <> '') AS q,
+             list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda v: v <> '') AS w,
+             list_filter(regexp_split_to_array(lower(regexp_replace(text, '^[^\p{{L}}\p{{N}}_]*(?:q|query|question|prompt|input|user|search|frage|anfrage|suche|pregunta|consulta|question|requête|recherche|问题|查询|提问)\s*[:：\-–—=>]+', '', 'i')), '[^\p{{L}}\p{{N}}]+'), lambda v: v <> '') AS bare FROM i),
+r AS (SELECT * FROM w WHERE len(w) > 0 AND array_to_string(w, ' ') NOT IN ({", ".join(f"'{p}'" for p in sorted(PLACEHOLDERS))})),
+c AS (SELECT example_id, bool_and(len(q) > 0 AND (len(list_filter(w, lambda v: NOT list_contains(q, v))) = 0 OR (len(bare) > 0 AND len(list_filter(bare, lambda v: NOT list_contains(q, v))) = 0))) AS copied FROM r GROUP BY example_id)
+SELECT example_id, CASE WHEN copied IS NULL THEN 'empty' ELSE 'copied' END AS defect FROM k LEFT JOIN c USING (example_id) WHERE copied IS NULL OR copied
 """,
     "p7_mix": _MIXED + "r AS (SELECT * FROM c WHERE repeats > 0) SELECT doc_id, source, tokens, repeats FROM r",
     "p7_shares": _MIXED + r"""

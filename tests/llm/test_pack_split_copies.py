@@ -150,3 +150,10 @@ def test_copies_equal_brute_force(spark):
         groups[("null", i) if q is None else key_of(q)].append(i)
     assert out == {i: (min(g), len(g)) for g in groups.values() for i in g}
     assert formatting_copies(spark.createDataFrame([], EX), "example_id", "query", "loaded_at").count() == 0
+
+
+def test_large_groups_are_spread(spark):
+    rows = [(i, f"Copper {'-' * (i % 7)} ledger!" if i % 3 else f"lex: a{i % 2}\nvec: b", i) for i in range(400)] + [(900, None, 1), (901, "alone", 1)]
+    df = spark.createDataFrame(rows, "k long, q string, v long")
+    one, many = (sorted(map(tuple, formatting_copies(df, "k", "q", "v", per_salt=n).collect())) for n in (10**6, 9))
+    assert one == many and len(one) == 402 and max(r[2] for r in one) == 266

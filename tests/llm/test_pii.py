@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lodespark.llm.pii import LABELS, Tagger, _Batch, _model, check_span, find_pii, redact, redact_pii, tokens, train, viterbi
+from lodespark.llm.pii import LABELS, Tagger, _Batch, _model, check_span, find_pii, redact, redact_pii, restore_pii, tag_pii, tokens, train, viterbi
 from lodespark.llm.pii_labels import KINDS, labelled_lines
 
 GIVEN = ["Petra", "Jonas", "Clara", "Zoë", "Marta", "Otto"]
@@ -172,6 +172,7 @@ def test_tables(spark, tagger):
     clean = redact_pii(docs, names).collect()
     assert len(clean) == 5 and {r["text"] for r in clean if r["doc_id"] == 1} == {"cc: [NAME]\nmail: [EMAIL]\ntel: [PHONE]\ncc: [NAME]"}
     assert {r["doc_id"]: r["text"] for r in clean if r["doc_id"] in (2, 3)} == {2: None, 3: ""}
+    assert sorted((r["text"] or "") for r in restore_pii(tag_pii(docs, names)).collect()) == sorted(r[1] or "" for r in docs.collect())
     assert find_pii(docs.limit(0), names).count() == 0 and redact("ab", []) == "ab"
 
 
