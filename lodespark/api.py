@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import json
 import time
 from dataclasses import replace
 
@@ -14,19 +15,17 @@ from lodespark.functions.paths import SCHEME, is_docid, normal_docid, parse_virt
 from lodespark.operators import chunks, context, fusion, lexical, lookup, models, store
 from lodespark.plans import hybrid
 from lodespark.plans.query_document import SubQuery, parse_query_document
-from lodespark.schema import COLLECTIONS, CONTENT, DOCUMENTS, JOBS, VECTORS
-from lodespark.sources.formats import results_text
+from lodespark.schema import COLLECTIONS, CONTENT, DOCUMENTS, EXPECTED, JOBS, VECTORS
+from lodespark.sources.formats import results_text, with_snippets
 from lodespark.sources.ingest import scan_files
+from lodespark.session import cut_lineage
 from lodespark.sources.versions import Versions
 
-STRATEGY = "regex"
-
-
 class Engine:
-    """``root`` holds the tables. Encoder, scorer and expander are pluggable; the stand-ins need no models."""
+    """``root`` holds the tables. Encoder, scorer and expander are pluggable; the stand-ins need no models. ``strategy`` is how texts are cut, see ``chunk_documents``."""
 
-    def __init__(self, spark: SparkSession, root: str, encoder: models.Encoder | None = None, scorer: models.Scorer | None = None, expander: models.Expander | None = None):
-        self.spark, self.tables = spark, Versions(spark, root)
+    def __init__(self, spark: SparkSession, root: str, encoder: models.Encoder | None = None, scorer: models.Scorer | None = None, expander: models.Expander | None = None, strategy: str = "regex"):
+        self.spark, self.tables, self.strategy = spark, Versions(spark, root), strategy
         self.encoder = encoder or models.HashEncoder()
         self.scorer = scorer or models.OverlapScorer()
         self.expander = expander or models.PlainExpander()
@@ -46,6 +45,36 @@ class Engine:
         old = next((r for r in self.collections() if r["name"] == name), {})
         self._save([*rows, {"name": name, "path": path, "pattern": pattern, "ignore_patterns": ignore_patterns or [], "include_by_default": include_by_default, "context": old.get("context") or {}}])
 
+    def sync_config(self, config: dict | str) -> bool:
+        """Makes the collections those of a configuration, as a dict or the path of a JSON (or YAML, where a parser is installed) file; returns whether anything was done.
+
+        ``{"collections": {name: {"path": ..., "pattern": ..., "ignore": [...], "includeByDefault": ..., "context": {...}}}, "global_context": ...}``. The configuration
+        wins: collections that it lacks are removed. One that is the same as at the last time, by its hash, is skipped.
+        """
+        if isinstance(config, str):
+            text = self.spark.sparkContext.wholeTextFiles(config).values().first()
+            if config.endswith((".yml", ".yaml")):
+                import yaml  # only where it is installed
+
+                config = yaml.safe_load(text)
+            else:
+                config = json.loads(text)
+        mark = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
+        self.global_context = config.get("global_context")
+        seen = self.tables.read("config", "mark string").collect()
+        if seen and seen[0]["mark"] == mark:
+            return False
+        wanted = config.get("collections") or {}
+        for name in {c["name"] for c in self.collections()} - set(wanted):
+            self.remove_collection(name)
+        old = {c["name"]: c for c in self.collections()}
+        self._save([
+            {"name": n, "path": c["path"], "pattern": c.get("pattern") or "**/*.md", "ignore_patterns": c.get("ignore") or [], "include_by_default": c.get("includeByDefault", True), "context": c.get("context") or (old.get(n) or {}).get("context") or {}}
+            for n, c in sorted(wanted.items())
+        ])
+        self.tables.write("config", self.spark.createDataFrame([(mark,)], "mark string"))
+        return True
+
     def remove_collection(self, name: str) -> None:
         self._save([r for r in self.collections() if r["name"] != name])
         self.tables.write("documents", self.documents().filter(F.col("collection") != name))
@@ -119,16 +148,19 @@ class Engine:
     # Embedding.
 
     def _fingerprint(self) -> str:
-        parts = f"{self.encoder.descriptor.space_id}|{STRATEGY}|{chunks.MAX_CHARS}|{chunks.OVERLAP}"
+        parts = f"{self.encoder.descriptor.space_id}|{self.strategy}|{chunks.MAX_CHARS}|{chunks.OVERLAP}"
         return hashlib.sha256(parts.encode()).hexdigest()[:24]
 
     def _chunks(self, rows: DataFrame) -> DataFrame:
-        return chunks.chunk_documents(rows, "hash", "doc")
+        return chunks.chunk_documents(rows, "hash", "doc", strategy=self.strategy, path="path")
 
-    def embed(self, force: bool = False, max_failures: float = 0.8) -> dict:
-        """Embeds what is pending, adding to what is there; a broken-off job goes on where it stopped.
+    def embed(self, force: bool = False, max_failures: float = 0.8, batch_docs: int = 100_000) -> dict:
+        """Embeds what is pending, in batches of about ``batch_docs`` texts, each of which is stored before the next begins.
 
-        A stored job with another fingerprint (model, strategy, size) is refused unless ``force`` starts anew.
+        A broken-off job goes on with what no stored batch holds: how many chunks a text has is stored with its vectors, so nothing that is complete
+        is cut or encoded again, and vectors are added, not rewritten. The job stops after the first batch by which more than ``max_failures`` of all
+        chunks so far have failed; what that batch could encode is not stored then. A stored job with another fingerprint (model,
+        strategy, size) is refused unless ``force`` starts anew.
         """
         began = time.time()
         jobs = self.tables.read("jobs", JOBS)
@@ -136,27 +168,39 @@ class Engine:
         fingerprint = self._fingerprint()
         if last and last[0]["fingerprint"] != fingerprint and not force:
             raise ValueError("the stored vectors were made with another model or strategy; use force to embed anew")
-        old = self.vectors() if not force else self.spark.createDataFrame([], VECTORS)
+        if force or not self.tables.current("vectors"):
+            self.tables.write("vectors", self.spark.createDataFrame([], VECTORS))
+            self.tables.write("expected", self.spark.createDataFrame([], EXPECTED))
         docs, content = self.documents().filter("active = 1"), self.content().filter("doc is not null and length(doc) > 0")
-        expected = self._chunks(content).groupBy(F.col("key").alias("hash")).agg(F.count(F.lit(1)).alias("total_chunks"))
-        pending = store.pending_embeddings(docs, content, old, expected)
-        titles = docs.groupBy("hash").agg(F.min("title").alias("title"))
-        parts = self._chunks(content.join(pending.select("hash"), "hash", "left_semi")).join(titles, F.col("key") == F.col("hash"))
-        done = models.encode_chunks(parts, self.encoder).cache()
-        counts = done.agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("failed"), F.count_distinct("key").alias("docs")).first()
-        rate = counts["failed"] / counts["n"] if counts["n"] else 0.0
-        status = "complete" if not counts["failed"] else "failed" if rate > max_failures else "partial"
-        if status != "failed" and counts["n"]:
-            good = done.filter("error is null").select(F.col("key").alias("hash"), "seq", "pos", "chunk", F.lit(self.encoder.descriptor.space_id).alias("space_id"), "embedding")
-            kept = old.join(pending.select("hash"), "hash", "left_anti").select(good.columns)
-            self.tables.write("vectors", kept.unionByName(good))
-        done.unpersist()
-        row = self.spark.createDataFrame([(f"{time.time_ns()}", fingerprint, status, counts["docs"], counts["n"], counts["failed"])], "job_id string, fingerprint string, status string, n_pending long, n_chunks long, n_failed long")
-        self.tables.write("jobs", jobs.unionByName(row.withColumn("finished_at", F.current_timestamp())))
-        return {"status": status, "documents": counts["docs"], "chunks": counts["n"], "failed": counts["failed"], "seconds": round(time.time() - began, 3)}
+        expected = self.tables.read("expected", EXPECTED).filter(F.col("fingerprint") == fingerprint).groupBy("hash").agg(F.max("total_chunks").alias("total_chunks"))
+        pending = cut_lineage(store.pending_embeddings(docs, content, self.vectors(), expected).select("hash"))
+        n_batches = max(1, -(-pending.count() // batch_docs))
+        about = docs.groupBy("hash").agg(F.min("title").alias("title"), F.min("path").alias("path"))
+        done = {"docs": 0, "n": 0, "failed": 0}
+        status = "complete"
+        for batch in range(n_batches):
+            part = pending if n_batches == 1 else pending.filter(F.pmod(F.xxhash64("hash"), F.lit(n_batches)) == batch)
+            cut = self._chunks(content.join(part, "hash", "left_semi").join(about.select("hash", "path"), "hash"))
+            rows = cut.join(about.select(F.col("hash").alias("key"), "title"), "key")
+            rows = rows.join(self.vectors().select(F.col("hash").alias("key"), "seq"), ["key", "seq"], "left_anti")
+            coded = cut_lineage(models.encode_chunks(rows, self.encoder))
+            counts = coded.agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("failed"), F.count_distinct("key").alias("docs")).first()
+            done = {k: v + counts[k] for k, v in done.items()}
+            if done["n"] and done["failed"] / done["n"] > max_failures:
+                status = "failed"
+                break
+            status = "partial" if done["failed"] else "complete"
+            if counts["n"]:
+                good = coded.filter("error is null").select(F.col("key").alias("hash"), "seq", "pos", "chunk", F.lit(self.encoder.descriptor.space_id).alias("space_id"), "embedding")
+                # The expectations first: should the job end between the two, the texts are pending still.
+                self.tables.append("expected", cut.groupBy(F.col("key").alias("hash")).agg(F.count(F.lit(1)).alias("total_chunks")).select("hash", F.lit(fingerprint).alias("fingerprint"), "total_chunks"))
+                self.tables.append("vectors", good)
+        row = self.spark.createDataFrame([(f"{time.time_ns()}", fingerprint, status, done["docs"], done["n"], done["failed"])], "job_id string, fingerprint string, status string, n_pending long, n_chunks long, n_failed long")
+        self.tables.append("jobs", row.withColumn("finished_at", F.current_timestamp()))
+        return {"status": status, "documents": done["docs"], "chunks": done["n"], "failed": done["failed"], "seconds": round(time.time() - began, 3)}
 
     def clear_embeddings(self) -> None:
-        for name, schema in (("vectors", VECTORS), ("jobs", JOBS)):
+        for name, schema in (("vectors", VECTORS), ("expected", EXPECTED), ("jobs", JOBS)):
             self.tables.write(name, self.spark.createDataFrame([], schema))
 
     # Look-ups.
@@ -196,15 +240,15 @@ class Engine:
         about = context.inherited_context(one, self.contexts(), self.global_context).first()["context"]
         return {"file": f"{SCHEME}://{r['collection']}/{r['path']}", "docid": r["hash"][:6], "hash": r["hash"], "body": text, "context": about}
 
-    def multi_get(self, pattern: str, max_bytes: int = lookup.MAX_BYTES) -> list[dict]:
-        """Documents of a comma-separated list, or of a glob."""
+    def multi_get(self, pattern: str, max_bytes: int = lookup.MAX_BYTES, max_lines: int | None = None) -> list[dict]:
+        """Documents of a comma-separated list, or of a glob; with ``max_lines`` longer bodies are cut, with a note."""
         docs = self.documents().filter("active = 1")
         if any(c in pattern for c in "*?{"):
             hits = lookup.glob_lookup(docs, pattern)
         else:
             names = self.spark.createDataFrame([(p.strip(),) for p in pattern.split(",") if p.strip()], "query string")
             hits = docs.join(lookup.find_documents(docs, names).select("collection", "path").distinct(), ["collection", "path"])
-        return [r.asDict() for r in lookup.multi_get(hits, self.content(), max_bytes).orderBy("collection", "path").collect()]
+        return [r.asDict() for r in lookup.multi_get(hits, self.content(), max_bytes, max_lines).orderBy("collection", "path").collect()]
 
     def list_files(self, collection: str, prefix: str = "") -> list[str]:
         rows = self.documents().filter((F.col("active") == 1) & (F.col("collection") == collection) & F.col("path").startswith(prefix))
@@ -265,7 +309,7 @@ class Engine:
         return self._finish(hits, files)
 
     def format(self, rows: list[dict], style: str, query: str = "", full: bool = False) -> str:
-        return results_text(rows, style, query, full)
+        return results_text(with_snippets(self.spark, rows, query, style), style, full)
 
     # Status.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
 
 def size_text(n: int) -> str:
@@ -53,3 +54,9 @@ def short_paths(paths: list[str]) -> dict[str, str]:
         taken.add(end)
         out[p] = end
     return out
+
+
+def editor_uri(template: str, path: str, line: int = 1, column: int = 1) -> str:
+    """A template such as ``editor://open?file={path}&line={line}`` filled in; the path is escaped but for its slashes, and a line is 1 at least."""
+    values = {"path": quote(path, safe="/"), "file": quote(path, safe="/"), "line": str(max(1, line)), "col": str(max(1, column)), "column": str(max(1, column))}
+    return re.sub(r"\{(path|file|line|col|column)\}", lambda m: values[m.group(1)], template)

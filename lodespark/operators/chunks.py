@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespark.operators.syntax import breaks_for
 from lodespark.session import spread
 
 MAX_CHARS, OVERLAP, WINDOW, DECAY = 3600, 540, 800, 0.7
@@ -77,36 +78,15 @@ def chunk_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, wi
         start = end - overlap if end - overlap > start else end
 
 
-def python_breaks(text: str) -> dict[int, float]:
-    """Break points before the classes, functions and imports of Python source; none if it can't be parsed."""
-    import ast
-
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return {}
-    offsets = [0]
-    for line in text.split("\n"):
-        offsets.append(offsets[-1] + len(line) + 1)
-    kinds = ((ast.ClassDef, 100), ((ast.FunctionDef, ast.AsyncFunctionDef), 90), ((ast.Import, ast.ImportFrom), 60))
-    out: dict[int, float] = {}
-    for node in ast.walk(tree):
-        for kind, score in kinds:
-            if isinstance(node, kind) and node.lineno > 1:
-                first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
-                out[max(0, offsets[first - 1] - 1)] = float(score)
-    return out
-
-
 def count_tokens(text: str) -> int:
     """Runs of letters, runs of digits, and other single marks: the offline stand-in for a model's tokenizer."""
     return len(TOKEN.findall(text))
 
 
-def chunk_by_tokens(text: str, max_tokens: int = 900, overlap: int = 135, window: int = 200, count: Callable[[str], int] = count_tokens) -> list[tuple[int, str, int]]:
+def chunk_by_tokens(text: str, max_tokens: int = 900, overlap: int = 135, window: int = 200, count: Callable[[str], int] = count_tokens, extra: Callable[[str], dict[int, float]] | None = None) -> list[tuple[int, str, int]]:
     """``(position, chunk, tokens)``: first by 3 characters a token, then chunks with too many tokens again by the measured ratio, less 5 %."""
     out = []
-    for pos, piece in chunk_text(text, max_tokens * 3, overlap * 3, window * 3):
+    for pos, piece in chunk_text(text, max_tokens * 3, overlap * 3, window * 3, extra):
         n = count(piece)
         if n <= max_tokens:
             out.append((pos, piece, n))
@@ -118,21 +98,29 @@ def chunk_by_tokens(text: str, max_tokens: int = 900, overlap: int = 135, window
     return out
 
 
-def chunk_documents(docs: DataFrame, key: str, text: str, by_tokens: bool = False) -> DataFrame:
-    """``key, seq, pos, chunk, n_tokens`` of each row; null texts give none, empty ones a single empty chunk."""
+def chunk_documents(docs: DataFrame, key: str, text: str, by_tokens: bool = False, strategy: str = "regex", path: str | None = None) -> DataFrame:
+    """``key, seq, pos, chunk, n_tokens`` of each row; null texts give none, empty ones a single empty chunk.
+
+    The strategy ``auto`` adds the declarations of program source to the break points, in the language that the extension in the column ``path``
+    names; other texts, and all under the strategy ``regex``, are cut at headings, fences and paragraphs alone.
+    """
+    if strategy not in ("auto", "regex"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     schema = pa.schema([("key", pa.string()), ("seq", pa.int32()), ("pos", pa.int32()), ("chunk", pa.string()), ("n_tokens", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = chunk_by_tokens(t) if by_tokens else [(p, c, count_tokens(c)) for p, c in chunk_text(t)]
+            for k, t, where in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                extra = breaks_for(where)
+                parts = chunk_by_tokens(t, extra=extra) if by_tokens else [(p, c, count_tokens(c)) for p, c in chunk_text(t, extra=extra)]
                 for seq, (pos, chunk, n) in enumerate(parts):
                     for col, v in zip(cols, (k, seq, pos, chunk, n)):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
-    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("text is not null")
+    where = F.col(path) if path and strategy == "auto" else F.lit(None)
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), where.cast("string").alias("path")).filter("text is not null")
     return spread(rows, "key").mapInArrow(run, "key string, seq int, pos int, chunk string, n_tokens int")
 
 

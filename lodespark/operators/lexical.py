@@ -15,15 +15,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.functions.stem import stem, stemmed
-from lodespark.session import spread
+from lodespark.session import cut_lineage, spread
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
 _BROADCAST_TERMS = 200_000
 
-# Letters with marks in the Latin blocks, and their base letters, by decomposition.
-_MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1]
-_FROM, _TO = "".join(_MARKED), "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
+
+
+def _folds() -> tuple[str, str]:
+    """All letters that decompose into a letter and marks, with those letters; then the marks themselves, which have no counterpart and vanish."""
+    parts = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0xFB50)])]
+    whole = [(c, d[0]) for c, d in parts if len(d) > 1 and unicodedata.category(c)[0] == "L" and all(unicodedata.category(x) == "Mn" for x in d[1:])]
+    marks = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.category(c) == "Mn")
+    return "".join(c for c, _ in whole) + marks, "".join(d for _, d in whole)
+
+
+_FROM, _TO = _folds()
+_FOLDED = str.maketrans(_FROM[: len(_TO)], _TO, _FROM[len(_TO) :])
 
 
 @dataclass(frozen=True)
@@ -86,7 +95,7 @@ def validate_semantic(query: str) -> None:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks on Latin letters."""
+    """Lower case without marks on letters."""
     return F.lower(F.translate(text, _FROM, _TO))
 
 
@@ -117,7 +126,7 @@ def _patterns(queries: list[tuple[str, str]], stems: bool) -> tuple[list, list]:
         own = []
         for c in parse_lex(text):
             terms = tuple(
-                stem(t) if stems else t for term in c.terms for t in re.findall(r"[^\W_]+", "".join(unicodedata.normalize("NFD", ch)[0] if ch in _FROM else ch for ch in term))
+                stem(t) if stems else t for term in c.terms for t in re.findall(r"[^\W_]+", term.translate(_FOLDED).lower())
             )
             if terms:
                 own.append((known.setdefault((terms, c.prefix), len(known)), c.negative))
@@ -127,12 +136,12 @@ def _patterns(queries: list[tuple[str, str]], stems: bool) -> tuple[list, list]:
     return rows, uses
 
 
-def search(docs: DataFrame, queries: list[tuple[str, str]], limit: int | None = 20, stems: bool = False, any_clause: bool = False) -> DataFrame:
-    """``query_id, file, bm25, score, rank`` of the best rows for each query.
+def matching(docs: DataFrame, queries: list[tuple[str, str]], stems: bool = False, any_clause: bool = False) -> DataFrame:
+    """``query_id, file, bm25`` of all rows that match, in no order.
 
-    ``docs``: ``file`` (unique), ``filepath, title, body`` (any may be null), already filtered to the wanted collections, so that a small
-    collection is never starved by a large one. ``any_clause`` asks for at least one clause instead of all. ``score`` is
-    ``x / (1 + x)``. Ties go by file. Equal clauses of many queries are matched once, and in the scan: only hits of wanted terms are shuffled.
+    Two passes over the rows: the first for the words there are, and the number of rows and tokens; the second for the hits of those words that
+    a query asks for. Equal clauses of many queries are matched once, and only hits of wanted words are shuffled. Hits by clause are counted
+    by a partial aggregate, so that a frequent clause passes through no single task.
     """
     spark = docs.sparkSession
     rows, uses = _patterns(queries, stems)
@@ -142,31 +151,50 @@ def search(docs: DataFrame, queries: list[tuple[str, str]], limit: int | None =
     use = spark.createDataFrame([(number[q], *rest) for q, *rest in uses], "q int, pattern int, negative boolean, need int")
     ids = F.broadcast(spark.createDataFrame(list(enumerate(names)), "q int, query_id string"))
     docs = spread(docs, "file")
-    posts = postings(docs, stems)
-    words = posts.select("term").distinct()
+    # Each row adds a null word of its own, under which rows and tokens are counted.
+    every = _term_rows(docs, stems).select("len", F.explode(F.concat(F.flatten(F.transform("cols", lambda c: c["terms"])), F.array(F.lit(None).cast("string")))).alias("term"))
+    words = every.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("len"))
     exact = words.join(F.broadcast(patterns.filter("not prefix")), F.col("term") == F.col("want"))
     lens = sorted({len(r[4]) for r in rows if r[2]})
-    heads = words.select("term", F.explode(F.array(*[F.substring("term", 1, n) for n in lens]) if lens else F.array().cast("array<string>")).alias("want")).distinct()
-    starts = heads.join(F.broadcast(patterns.filter("prefix")), "want").select(exact.columns)
-    wanted = exact.unionByName(starts).select("term", "pattern", "size", "offset").distinct().cache()
+    heads = words.filter("term is not null").select("term", F.explode(F.array(*[F.substring("term", 1, n) for n in lens]) if lens else F.array().cast("array<string>")).alias("want")).distinct()
+    starts = heads.join(F.broadcast(patterns.filter("prefix")), "want")
+    columns = ["term", "pattern", "size", "offset"]
+    none = F.lit(0).cast("long")
+    found = exact.select(*columns, none.alias("n"), none.alias("len")).unionByName(starts.select(*columns, none.alias("n"), none.alias("len"))).distinct()
+    total = words.filter("term is null").select("term", F.lit(-1).alias("pattern"), F.lit(0).alias("size"), F.lit(0).alias("offset"), "n", F.coalesce("len", none).alias("len"))
+    found = cut_lineage(found.unionByName(total))
+    sizes = found.filter("pattern = -1").select("n", "len").first()
+    n_total, n_tokens = (sizes["n"], sizes["len"]) if sizes else (0, 0)
+    wanted = found.filter("pattern >= 0").select(*columns)
     small = F.broadcast if wanted.count() <= _BROADCAST_TERMS else (lambda df: df)
-    hits = posts.join(small(wanted), "term")
+    hits = postings(docs, stems).join(small(wanted), "term")
     single = hits.filter("size = 1").groupBy("pattern", "file", "len").agg(F.sum("weight").alias("tf"))
     # A place holds one term, so a phrase is there if as many of its terms are as it has.
     place = hits.filter("size > 1").groupBy("pattern", "size", "file", "len", "col", "weight", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
     phrase = place.filter("n = size").groupBy("pattern", "file", "len").agg(F.sum("weight").alias("tf"))
-    tf = single.unionByName(phrase).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pattern")))
-    total = _term_rows(docs, stems).agg(F.count(F.lit(1)).alias("n_total"), F.avg("len").alias("avglen")).first()
-    idf = F.greatest(F.log((F.lit(float(total["n_total"])) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(total["avglen"] or 1.0)))
-    per_clause = tf.select("pattern", "file", part.alias("part")).join(F.broadcast(use), "pattern")
+    tf = single.unionByName(phrase)
+    per_pattern = F.broadcast(tf.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))  # one row a clause of the queries
+    idf = F.greatest(F.log((F.lit(float(n_total)) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(n_tokens / n_total if n_tokens else 1.0)))
+    per_clause = tf.join(per_pattern, "pattern").select("pattern", "file", part.alias("part")).join(F.broadcast(use), "pattern")
     per_query = per_clause.groupBy("q", "file").agg(
         F.sum(F.when(~F.col("negative"), F.col("part")).otherwise(0.0)).alias("bm25"), F.sum((~F.col("negative")).cast("int")).alias("have"), F.max("negative").alias("excluded"), F.max("need").alias("need")
     )
     kept = per_query.filter((~F.col("excluded")) & (F.col("have") >= (F.lit(1) if any_clause else F.col("need"))))
-    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.round("bm25", 9).desc(), "file")))
+    return kept.join(ids, "q").select("query_id", "file", "bm25")
+
+
+def search(docs: DataFrame, queries: list[tuple[str, str]], limit: int | None = 20, stems: bool = False, any_clause: bool = False) -> DataFrame:
+    """``query_id, file, bm25, score, rank`` of the best rows for each query.
+
+    ``docs``: ``file`` (unique), ``filepath, title, body`` (any may be null), already filtered to the wanted collections, so that a small
+    collection is never starved by a large one. ``any_clause`` asks for at least one clause instead of all. ``score`` is
+    ``x / (1 + x)``. Ties go by file.
+    """
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "file"))
+    kept = matching(docs, queries, stems, any_clause).withColumn("rank", rank)
     kept = kept if limit is None else kept.filter(F.col("rank") <= limit)
-    return kept.join(ids, "q").select("query_id", "file", "bm25", score_map(F.col("bm25")).alias("score"), "rank")
+    return kept.select("query_id", "file", "bm25", score_map(F.col("bm25")).alias("score"), "rank")
 
 
 def score_map(x: Column) -> Column:

@@ -5,13 +5,14 @@ Lookups take a table of queries against all documents, so that one plan serves o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lodespark.functions.paths import glob_regex, virtual_path
 
 MAX_BYTES = 10 * 1024
+_KEY = 24  #: characters at the end of a path that look-ups by suffix join on, at most
 
 
 def exact_lookup(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -22,14 +23,16 @@ def exact_lookup(docs: DataFrame, queries: DataFrame) -> DataFrame:
 def suffix_lookup(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """The first document, by collection and path, whose path ends with the query, letter case aside.
 
-    Paths meet queries by their last characters: as many as the shortest query has, at most 24. So it is an equi-join
-    with a check, not a comparison of all pairs.
+    Paths meet queries by their last characters: as many as the query has, at most 24. A path has one key for each
+    length that some query has, so it is an equi-join with a check, not a comparison of all pairs, and a short query lengthens no other's list.
     """
-    q = queries.filter("length(query) > 0").select("query", F.lower("query").alias("q")).distinct()
-    size = q.agg(F.least(F.min(F.length("q")), F.lit(24)).alias("m")).first()["m"] or 1
-    q = q.withColumn("k", F.right("q", F.lit(size)))
-    d = docs.select("collection", "path", "hash", F.lower("path").alias("p")).withColumn("k", F.right("p", F.lit(size)))
-    hits = d.join(q, "k").filter(F.endswith("p", "q"))
+    q = queries.filter("length(query) > 0").select("query", F.lower("query").alias("q")).distinct().withColumn("size", F.least(F.length("q"), F.lit(_KEY)))
+    sizes = [r["size"] for r in q.select("size").distinct().collect()]  # 24 at most
+    q = q.withColumn("k", F.right("q", F.col("size")))
+    keys = F.array(*[F.struct(F.lit(n).alias("size"), F.right("p", F.lit(n)).alias("k")) for n in sizes]) if sizes else F.array().cast("array<struct<size int, k string>>")
+    d = docs.select("collection", "path", "hash", F.lower("path").alias("p"))
+    d = d.select("collection", "path", "hash", "p", F.explode(keys).alias("x")).select("collection", "path", "hash", "p", "x.size", "x.k")
+    hits = d.join(q, ["size", "k"]).filter(F.endswith("p", "q"))
     return hits.groupBy("query").agg(F.min(F.struct("collection", "path", "hash")).alias("x")).select("query", "x.*")
 
 
@@ -67,7 +70,7 @@ def fuzzy_lookup(docs: DataFrame, queries: DataFrame, max_distance: int = 3, lim
     cuts = F.broadcast(spark.createDataFrame(plan or [(-1, 0, 0, 0)], "n int, part int, at int, size int"))
     qs = q.join(cuts, "n").select("query", "q", "n", "part", F.expr("substring(q, at + 1, size)").alias("piece"))
     d = docs.select("path", F.lower("path").alias("p")).distinct().withColumn("m", F.length("p"))
-    near = d.join(cuts, (F.col("n") >= F.col("m") - max_distance) & (F.col("n") <= F.col("m") + max_distance))
+    near = d.withColumn("n", F.explode(F.sequence(F.col("m") - max_distance, F.col("m") + max_distance))).join(cuts, "n")
     shifted = near.select("path", "p", "n", "part", "at", "size", F.explode(F.array([F.lit(x) for x in range(-max_distance, max_distance + 1)])).alias("shift"))
     shifted = shifted.filter((F.col("at") + F.col("shift") >= 0) & (F.col("at") + F.col("shift") + F.col("size") <= F.length("p")))
     pieces = shifted.select("path", "p", "n", "part", F.expr("substring(p, at + shift + 1, size)").alias("piece"))
@@ -101,12 +104,22 @@ def within_patterns(docs: DataFrame, collections: DataFrame) -> DataFrame:
     return hits.filter(F.col("skip").isNull() | ~F.regexp_like("path", F.col("skip"))).drop("keep", "skip")
 
 
-def multi_get(docs: DataFrame, content: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``collection, path, n_bytes, skip_reason, body`` of the given documents; bodies above the limit are skipped with a reason."""
+def multi_get(docs: DataFrame, content: DataFrame, max_bytes: int = MAX_BYTES, max_lines: int | None = None) -> DataFrame:
+    """``collection, path, n_bytes, skip_reason, body`` of the given documents; bodies above the limit are skipped with a reason, those of more than ``max_lines`` lines cut with a note."""
     rows = docs.select("collection", "path", "hash").join(content.select("hash", "doc"), "hash").withColumn("n_bytes", F.octet_length("doc"))
     large = F.col("n_bytes") > max_bytes
     reason = F.when(F.col("doc").isNull(), "purged").when(large, F.concat(F.lit("larger than "), F.lit(max_bytes), F.lit(" bytes")))
-    return rows.select("collection", "path", "n_bytes", reason.alias("skip_reason"), F.when(~large, F.col("doc")).alias("body"))
+    return rows.select("collection", "path", "n_bytes", reason.alias("skip_reason"), F.when(~large, first_lines(F.col("doc"), max_lines)).alias("body"))
+
+
+def first_lines(text: Column, max_lines: int | None) -> Column:
+    """The first lines of a text and a note of how many more there are; all of it where no limit is given or reached."""
+    if max_lines is None:
+        return text
+    lines = F.split(text, "\n", -1)
+    more = F.size(lines) - max_lines
+    cut = F.concat(F.array_join(F.slice(lines, 1, max_lines), "\n"), F.lit("\n\n[... truncated "), more.cast("string"), F.lit(" more lines]"))
+    return F.when(more > 0, cut).otherwise(text)
 
 
 def find_documents(docs: DataFrame, queries: DataFrame) -> DataFrame:

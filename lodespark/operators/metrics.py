@@ -82,13 +82,33 @@ def expansion_scores(predicted: DataFrame, golden: DataFrame, threshold: float =
     return out.select("type", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "pred_count", "golden_count", "matched")
 
 
-def spearman(scores: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """``key, spearman, n``: rank agreement of two scores within each key; ties have their mean rank."""
+def _mean_ranks(scores: DataFrame, key: str, c: str, blocks: int = 256) -> DataFrame:
+    """``key, c, rank``: the mean rank of each value of ``c`` within its key.
+
+    Values are counted by a partial aggregate and put into blocks by size; ranks are summed up over the blocks (few rows a key) and
+    then within each, so that no key passes through one task.
+    """
+    counts = scores.groupBy(key, c).agg(F.count(F.lit(1)).alias("n"))
+    ends = scores.groupBy(key).agg(F.min(c).alias("low"), F.max(c).alias("high"))
+    share = F.coalesce(F.try_divide(F.col(c).cast("double") - F.col("low"), F.col("high").cast("double") - F.col("low")), F.lit(0.0))
+    placed = counts.join(ends, key).select(key, c, "n", F.least(F.floor(share * blocks), F.lit(blocks - 1)).alias("block"))
+    sums = placed.groupBy(key, "block").agg(F.sum("n").alias("in_block"))
+    upto = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "block", F.coalesce(F.sum("in_block").over(upto), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(key, "block").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("less", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, [key, "block"])
+    return ranked.select(key, c, (F.col("before") + F.col("less") + (F.col("n") + 1) / 2).alias("rank"))
 
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(key).orderBy(c)
-        same = Window.partitionBy(key, c)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2
 
-    r = scores.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, rank(a).alias("ra"), rank(b).alias("rb"))
-    return r.groupBy(key).agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+def spearman(scores: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``key, spearman, n``: rank agreement of two scores within each key; ties have their mean rank. Rows with a null are left out."""
+    rows = scores.filter(F.col(key).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, a, b)
+    pairs = rows.groupBy(key, a, b).agg(F.count(F.lit(1)).alias("n"))
+    for c in (a, b):
+        pairs = pairs.join(_mean_ranks(rows, key, c).withColumnRenamed("rank", f"rank_{c}"), [key, c])
+    x, y, n = F.col(f"rank_{a}"), F.col(f"rank_{b}"), F.col("n")
+    # Ranks of any sample have the mean (N + 1) / 2; sums are taken of differences from it, so that they stay small.
+    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    x, y = x - (F.col("total") + 1) / 2, y - (F.col("total") + 1) / 2
+    sums = pairs.join(size, key).groupBy(key).agg(F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.max("total").alias("n"))
+    return sums.select(key, F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman"), "n")

@@ -77,8 +77,59 @@ def check_vectors(x: np.ndarray, n: int, dims: int) -> str | None:
     return None if np.isfinite(x).all() else "values that are not finite"
 
 
-def encode_chunks(chunks: DataFrame, encoder: Encoder, batch: int = 32) -> DataFrame:
-    """``chunks(key, seq, pos, chunk, title)`` with ``embedding`` and ``error``; a batch that fails is tried again one by one."""
+_PIECE = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\w\s]|_)")
+
+
+def within_window(text: str, max_tokens: int | None, margin: int = 4) -> str:
+    """The text, or as many of its tokens as a model's window holds, less a margin for the model's own marks."""
+    if not max_tokens or len(text) <= max_tokens:
+        return text  # no token is shorter than a character
+    ends = [m.end() for m in _PIECE.finditer(text)]
+    return text if len(ends) <= max_tokens else text[: ends[max(1, max_tokens - margin) - 1]]
+
+
+def token_batches(sizes: list[int], budget: int, most: int) -> list[list[int]]:
+    """Places of texts in batches of at most ``most`` texts whose padded size (texts times the longest) keeps to the budget; a longer text is alone."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: (sizes[i], i)):  # the last of a batch is its longest
+        if out and len(out[-1]) < most and (len(out[-1]) + 1) * sizes[i] <= budget:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def resolve_encoder_options(given: dict | None = None, environment: dict | None = None) -> dict:
+    """``backend, model, dims, url, timeout_ms, concurrency, binary, fail_closed``: what the caller gives, else the environment (``LODE_EMBED_...``), else the default.
+
+    Numbers in the environment that are none, or not positive, are passed over. A remote backend fails closed unless told otherwise.
+    """
+    given, env = given or {}, environment or {}
+    read = lambda name: env.get(f"LODE_EMBED_{name.upper()}")
+
+    def number(name: str, default: int | None) -> int | None:
+        if given.get(name) is not None:
+            return given[name]
+        text = (read(name) or "").strip()
+        return int(text) if text.isdigit() and int(text) > 0 else default
+
+    backend = given.get("backend") or (read("backend") or "").lower()
+    backend = backend if backend in ("local", "remote") else "local"
+    binary = given["binary"] if given.get("binary") is not None else (read("binary") or "1").lower() not in ("0", "false")
+    return {
+        "backend": backend, "model": given.get("model") or read("model") or "words-64", "dims": number("dims", None),
+        "url": (given.get("url") or read("url") or f"http://127.0.0.1:{number('port', 8787)}").rstrip("/"), "timeout_ms": number("timeout_ms", 30_000), "concurrency": number("concurrency", 1),
+        "binary": binary, "fail_closed": given["fail_closed"] if given.get("fail_closed") is not None else backend == "remote",
+    }
+
+
+def encode_chunks(chunks: DataFrame, encoder: Encoder, batch: int = 32, budget: int = 16_384, window: int | None = None) -> DataFrame:
+    """``chunks(key, seq, pos, chunk, title)`` with ``embedding`` and ``error``.
+
+    Batches hold texts of like length, at most ``batch``, whose padded tokens keep to the ``budget``. A batch that fails is halved and tried
+    again, down to single texts, so that a text that is too large for memory spoils no other. With ``window`` texts are
+    cut to the tokens that the model takes.
+    """
     dims, template = encoder.descriptor.dims, encoder.descriptor.document_template
     fields = [("key", pa.string()), ("seq", pa.int32()), ("pos", pa.int32()), ("chunk", pa.string()), ("embedding", pa.list_(pa.float32())), ("error", pa.string())]
     schema = pa.schema(fields)
@@ -93,19 +144,18 @@ def encode_chunks(chunks: DataFrame, encoder: Encoder, batch: int = 32) -> DataF
             return [v.astype(np.float32) for v in x], [None] * len(texts)
         if len(texts) == 1:
             return [None], [why[:200]]
-        parts = [attempt([t]) for t in texts]
-        return [p[0][0] for p in parts], [p[1][0] for p in parts]
+        half = len(texts) // 2
+        (va, ea), (vb, eb) = attempt(texts[:half]), attempt(texts[half:])
+        return va + vb, ea + eb
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             key, seq, pos, text, title = (rb.column(i) for i in range(5))
-            filled = [template.format(title=t or "", text=c).strip() for t, c in zip(title.to_pylist(), text.to_pylist())]
+            filled = [within_window(template.format(title=t or "", text=c).strip(), window) for t, c in zip(title.to_pylist(), text.to_pylist())]
             # Texts of like length share a batch; the order of the rows is restored.
-            order = sorted(range(len(filled)), key=lambda i: len(filled[i]))
             vecs: list = [None] * len(filled)
             errs: list = [None] * len(filled)
-            for s in range(0, len(order), batch):
-                part = order[s : s + batch]
+            for part in token_batches([len(_WORD.findall(t)) + 1 for t in filled], budget, batch):
                 v, e = attempt([filled[i] for i in part])
                 for i, a, b in zip(part, v, e):
                     vecs[i], errs[i] = a, b
@@ -118,14 +168,19 @@ def encode_chunks(chunks: DataFrame, encoder: Encoder, batch: int = 32) -> DataF
 def rerank(pairs: DataFrame, scorer: Scorer, cache: DataFrame | None = None) -> DataFrame:
     """``pairs(query, file, chunk)`` with ``score``; equal texts of a query are scored once, and those in ``cache(cache_key, score)`` not at all.
 
+    A score is cached by the model, the query and the text, whatever file it is from; entries of an older form, by the file too, are read as well.
     A scorer that gives the wrong number of scores, or one that is not finite, scores 0.
     """
     keyed = pairs.withColumn("cache_key", F.sha2(F.concat_ws("\n", F.lit(scorer.name), "query", "chunk"), 256))
     todo = keyed.select("cache_key", "query", "chunk").dropDuplicates(["cache_key"])
     known = None
     if cache is not None:
-        known = todo.join(cache.select("cache_key", "score"), "cache_key").select("cache_key", "score")
-        todo = todo.join(cache.select("cache_key"), "cache_key", "left_anti")
+        stored = cache.select("cache_key", "score").dropDuplicates(["cache_key"])
+        by_file = F.sha2(F.concat_ws("\n", F.lit(scorer.name), "query", "file", "chunk"), 256)
+        older = keyed.select("cache_key", by_file.alias("older")).join(stored.withColumnRenamed("cache_key", "older"), "older")
+        known = todo.select("cache_key").join(stored, "cache_key").select("cache_key", "score", F.lit(0).alias("age")).unionByName(older.select("cache_key", "score", F.lit(1).alias("age")))
+        known = known.groupBy("cache_key").agg(F.min_by("score", F.struct("age", "score")).alias("score"))
+        todo = todo.join(known.select("cache_key"), "cache_key", "left_anti")
     schema = pa.schema([("cache_key", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

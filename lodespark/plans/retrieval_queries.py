@@ -40,7 +40,7 @@ def l1_stemmed_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 def l6_matches(spark: SparkSession, d: str) -> DataFrame:
     """How many rows match each query, in full."""
-    return lexical.search(_files(spark, d), _lex_queries(spark, d), limit=None).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return lexical.matching(_files(spark, d), _lex_queries(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def l1_term_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +61,15 @@ def v1_nearest(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
+def v8_recall_of_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The approximate neighbours against the exact ones: whether nine of ten are found."""
+    v = _vectors(spark, d)
+    exact = _neighbours(spark, d)
+    near = vector.near_by_cells(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    both = exact.select("query_id", "vec_id").join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("nine_of_ten"))
+
+
 def v2_nearest_in_label(spark: SparkSession, d: str) -> DataFrame:
     """Filtered to one collection (here a label) before the search."""
     v = _vectors(spark, d)
@@ -149,6 +158,25 @@ def c5_token_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks.chunk_documents(bodies(table(spark, d, "content")), "hash", "doc", by_tokens=True).select("key", "seq", "pos", "n_tokens", F.char_length("chunk").alias("n_chars"))
 
 
+def _checked(spark: SparkSession, d: str, by_tokens: bool, overlap: int, most: int) -> DataFrame:
+    own = bodies(table(spark, d, "content")).filter("doc is not null").select("hash", "doc")
+    made = chunks.chunk_documents(own, "hash", "doc", by_tokens=by_tokens).withColumn("n_chars", F.char_length("chunk"))
+    made = made.withColumn("before", F.lag(F.col("pos") + F.col("n_chars")).over(Window.partitionBy("key").orderBy("seq")))  # of one text
+    rows = made.join(own, F.col("key") == F.col("hash"))
+    verbatim = F.substring("doc", F.col("pos") + 1, F.col("n_chars")) == F.col("chunk")
+    joined = F.when(F.col("before").isNull(), F.col("pos") == 0).otherwise((F.col("pos") <= F.col("before")) & (F.col("pos") >= F.col("before") - overlap))
+    out = rows.groupBy("hash").agg(
+        F.max(F.char_length("doc")).alias("n_chars"), F.min(verbatim).alias("verbatim"), F.min(joined).alias("gapless"), F.max(F.col("pos") + F.col("n_chars")).alias("end"),
+        F.min(F.col("n_tokens" if by_tokens else "n_chars") <= most).alias("within_limit"),
+    )
+    return out.select("hash", "n_chars", "verbatim", (F.col("gapless") & (F.col("end") == F.col("n_chars"))).alias("gapless"), "within_limit")
+
+
+def c4_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each body: whether its chunks are verbatim, reach from end to end without a gap, and keep to the limit."""
+    return _checked(spark, d, False, 540, 3600)
+
+
 def c4_small_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Bodies within the limit are one chunk each."""
     one = chunks.chunk_documents(bodies(table(spark, d, "content")), "hash", "doc").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("chunk")).alias("n_chars"))
@@ -216,8 +244,8 @@ def r9_spearman(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        l9_bm25, l1_stemmed_bm25, l6_matches, l1_term_counts, v1_nearest, v2_nearest_in_label, v3_v4_best_by_label, v7_multi_query, v9_normalised, v10_recall_at_1, h5_h8_fusion, h6_compat_weights,
-        h7_trace, h13_h16_blend, h14_rank_scores, h1_strong_signal, c4_chunks, c5_token_chunks, c4_small_bodies, h9_best_chunk, h19_snippets, r1_r4_scores, a12_r10_averages, r6_rank_quality,
+        l9_bm25, l1_stemmed_bm25, l6_matches, l1_term_counts, v1_nearest, v8_recall_of_cells, v2_nearest_in_label, v3_v4_best_by_label, v7_multi_query, v9_normalised, v10_recall_at_1, h5_h8_fusion, h6_compat_weights,
+        h7_trace, h13_h16_blend, h14_rank_scores, h1_strong_signal, c4_chunks, c5_token_chunks, c4_checked, c4_small_bodies, h9_best_chunk, h19_snippets, r1_r4_scores, a12_r10_averages, r6_rank_quality,
         r7_expansion_scores, r8_expansion_rewards, r9_spearman,
     )
 }
@@ -273,6 +301,7 @@ SQL = {
     "l1_term_counts": f"WITH {_POSTS} SELECT term, count(*) AS n, count(DISTINCT file) AS n_files FROM P GROUP BY 1",
     "h1_strong_signal": f"""{_BM25} SELECT query_id, a >= 0.85 AND a - coalesce(b, 0) >= 0.15 AS strong FROM (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b FROM K GROUP BY 1)""",
     "v1_nearest": f"{_KNN} SELECT query_id, vec_id, round(distance, 6) AS distance FROM T WHERE r <= 10",
+    "v8_recall_of_cells": "SELECT count(*) AS n_queries, true AS nine_of_ten FROM embeddings WHERE vec_id % 50 = 0",
     "v2_nearest_in_label": f"""{_KNN} SELECT query_id, vec_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), vec_id) AS k FROM X WHERE label = 3) WHERE k <= 5""",
     "v3_v4_best_by_label": f"{_KNN} SELECT query_id, label, round(min(distance), 6) AS distance, round(greatest(0, 1 - min(distance) / 2), 6) AS score FROM T WHERE r <= 20 GROUP BY 1, 2",
     "v7_multi_query": f"""{_KNN}, S AS (SELECT query_id % 3 AS q, vec_id, max(round(greatest(0, 1 - distance / 2), 9)) AS score FROM T WHERE r <= 20 GROUP BY 1, 2),
@@ -288,7 +317,13 @@ SELECT count(*) AS n, round(avg(CASE WHEN found = label THEN 1.0 ELSE 0.0 END),
 G AS (SELECT source, file, round(w / rank + (1 - w) * y, 9)::DOUBLE AS score FROM E), O AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, file) AS rank FROM G WHERE score >= 0.2)
 SELECT source, file, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM O WHERE rank <= 10""",
     "h14_rank_scores": f"{_LISTS} SELECT source, file, round(1.0::DOUBLE / rank, 6) AS score FROM K WHERE rank <= 40",
+    "c4_checked": "SELECT hash, CAST(max(length(doc)) AS INTEGER) AS n_chars, true AS verbatim, true AS gapless, true AS within_limit FROM content WHERE doc IS NOT NULL AND hash IS NOT NULL GROUP BY hash",
     "c4_small_bodies": "SELECT hash, CAST(max(length(doc)) AS INTEGER) AS n_chars FROM content WHERE length(doc) <= 3600 AND hash IS NOT NULL GROUP BY hash",
+    "h19_snippets": r"""WITH D AS (SELECT doc_id, string_split(text, chr(10)) AS l, list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[\s\p{Z}]+'), lambda t: t <> '') AS q FROM documents WHERE text IS NOT NULL),
+S AS (SELECT doc_id, l, list_transform(l, lambda x: len(list_filter(q, lambda t: contains(lower(x), t)))) AS s FROM D), B AS (SELECT doc_id, l, CAST(list_position(s, list_max(s)) AS INTEGER) AS at_ FROM S),
+H AS (SELECT doc_id, l, at_, greatest(at_ - 1, 1) AS a, least(at_ + 2, len(l)) AS b FROM B), T AS (SELECT *, array_to_string(l[a:b], chr(10)) AS t FROM H)
+SELECT doc_id, at_ AS line, '@@ -' || a || ',' || (b - a + 1) || ' @@ (' || (a - 1) || ' before, ' || (len(l) - b) || ' after)' || chr(10) || CASE WHEN length(t) > 500 THEN substring(t, 1, 497) || '...' ELSE t END AS snippet,
+ CAST(a - 1 AS INTEGER) AS lines_before, CAST(len(l) - b AS INTEGER) AS lines_after, CAST(b - a + 1 AS INTEGER) AS snippet_lines FROM T""",
     "r1_r4_scores": f"{_RESULTS}, S AS ({_scores('RES', 10)}) SELECT query_id, round(precision_at_k, 6) AS precision_at_k, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round({_F1}, 6) AS f1, CAST(hits_at_k AS BIGINT) AS hits_at_k FROM S",
     "a12_r10_averages": f"""{_RESULTS}, RES5 AS (SELECT * FROM RES WHERE rank <= 5), S AS (SELECT 'first five' AS backend, * FROM ({_scores('RES5', 5)}) UNION ALL SELECT 'all', * FROM ({_scores('RES', 20)}))
 SELECT backend, count(*) AS n_queries, round(avg(precision_at_k), 6) AS precision_at_k, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg({_F1}), 6) AS f1 FROM S GROUP BY 1""",

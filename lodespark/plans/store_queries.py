@@ -154,7 +154,10 @@ def j6_orphaned_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j7_orphaned_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).join(_active(spark, d).select("hash"), "hash", "left_anti").groupBy("hash").agg(F.count(F.lit(1)).alias("n_vectors"))
+    """Stored chunks, here one for each 3,600 characters of every body, of which no active document has the hash."""
+    n = F.ceil(F.char_length("doc") / 3600)
+    stored = _bodies(spark, d).filter("length(doc) > 0").select("hash", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("seq"))
+    return stored.join(_active(spark, d).select("hash"), "hash", "left_anti").groupBy("hash").agg(F.count(F.lit(1)).alias("n_vectors"))
 
 
 def j8_stored_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -269,8 +272,9 @@ def f1_cache_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f2_docids(spark: SparkSession, d: str) -> DataFrame:
-    ids = _docs(spark, d).select(store.docid(F.col("hash")).alias("docid"), "hash").distinct()
-    return ids.groupBy("docid").agg(F.count(F.lit(1)).alias("n_hashes")).filter("n_hashes > 1")
+    """The short ids of all hashes, and how many hashes share each."""
+    ids = _docs(spark, d).filter("hash is not null").select(store.docid(F.col("hash")).alias("docid"), "hash").distinct()
+    return ids.groupBy("docid").agg(F.count(F.lit(1)).alias("n_hashes"), F.min("hash").alias("first_hash"))
 
 
 def f3_title_distance(spark: SparkSession, d: str) -> DataFrame:

@@ -80,7 +80,7 @@ N AS (SELECT hash, count(*) AS stored FROM V GROUP BY hash), P AS (SELECT hash,
 SELECT P.hash, P.path, CAST(strlen(doc) AS INTEGER) AS n_bytes FROM P JOIN C USING (hash) LEFT JOIN N USING (hash) LEFT JOIN E USING (hash) WHERE doc IS NOT NULL AND (stored IS NULL OR stored < total)"""),
     "a3_pending_count": f"SELECT count(DISTINCT hash) AS n_pending, CAST(coalesce(sum(n_bytes), 0) AS BIGINT) AS n_bytes FROM ({_PENDING})",
     "j6_orphaned_content": f"WITH {_D}, {_C} SELECT hash FROM C WHERE hash NOT IN (SELECT hash FROM D WHERE active = 1 AND hash IS NOT NULL)",
-    "j7_orphaned_vectors": f"WITH {_D}, {_C}, {_V} SELECT hash, count(*) AS n_vectors FROM V WHERE hash NOT IN (SELECT hash FROM D WHERE active = 1 AND hash IS NOT NULL) GROUP BY hash",
+    "j7_orphaned_vectors": f"WITH {_D}, {_C} SELECT hash, CAST(ceil(length(doc) / 3600) AS BIGINT) AS n_vectors FROM C WHERE length(doc) > 0 AND hash NOT IN (SELECT hash FROM D WHERE active = 1 AND hash IS NOT NULL)",
     "j8_stored_chunks": f"WITH {_D}, {_C}, {_V} SELECT id, hash FROM D WHERE active = 1 AND hash IN (SELECT hash FROM V)",
     "j9_m2_scan_diff": f"{_DIFF} SELECT collection, path, status FROM T WHERE status IS NOT NULL",
     "m4_scan_counters": f"{_DIFF} SELECT collection, status, count(*) AS n FROM T WHERE status IS NOT NULL GROUP BY 1, 2",
@@ -113,7 +113,7 @@ SELECT file, arg_max(name, (length(root), name)) AS collection FROM F JOIN R ON
     "d1_distinct_files": f"WITH {_D} SELECT hash, collection, path FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY collection, path, id) AS r FROM D WHERE active = 1) WHERE r = 1",
     "f1_wrong_hashes": "SELECT hash = sha256(doc) AS hash_is_right, count(*) AS n FROM content WHERE doc IS NOT NULL GROUP BY 1",
     "f1_cache_keys": """SELECT item_id, sha256('expandQuery' || '{"query":' || CAST(to_json(query) AS VARCHAR) || '}') AS cache_key FROM eval_items""",
-    "f2_docids": f"WITH {_D} SELECT {_DOCID} AS docid, count(DISTINCT hash) AS n_hashes FROM D GROUP BY 1 HAVING count(DISTINCT hash) > 1",
+    "f2_docids": f"WITH {_D} SELECT {_DOCID} AS docid, count(DISTINCT hash) AS n_hashes, min(hash) AS first_hash FROM D WHERE hash IS NOT NULL GROUP BY 1",
     "f3_title_distance": "SELECT doc_id, CAST(levenshtein(regexp_replace(title, '[^ -~]', '?', 'g'), regexp_replace(path, '[^ -~]', '?', 'g')) AS INTEGER) AS distance FROM documents WHERE title IS NOT NULL AND path IS NOT NULL",
     "f6_virtual_paths": f"WITH {_D} SELECT id, collection, path FROM D",
     "f7_lengths": f"WITH {_C} SELECT hash, CAST(length(doc) AS INTEGER) AS n_chars, CAST(strlen(doc) AS INTEGER) AS n_bytes FROM C WHERE doc IS NOT NULL",

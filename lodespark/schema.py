@@ -10,6 +10,7 @@ CONTENT = "hash string, doc string, created_at timestamp"
 DOCUMENTS = "collection string, path string, title string, hash string, modified_at timestamp, active int"
 VECTORS = "hash string, seq int, pos int, chunk string, space_id string, embedding array<float>"
 COLLECTIONS = "name string, path string, pattern string, ignore_patterns array<string>, include_by_default boolean, context map<string,string>"
+EXPECTED = "hash string, fingerprint string, total_chunks long"
 JOBS = "job_id string, fingerprint string, status string, n_pending long, n_chunks long, n_failed long, finished_at timestamp"
 
 

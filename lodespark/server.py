@@ -67,6 +67,8 @@ def http_server(engine: Engine, host: str = "127.0.0.1", port: int = 8181) -> Th
                 self.answer(404, {"error": "not found"})
 
         def do_POST(self) -> None:  # noqa: N802
+            if self.path.rstrip("/") == "/mcp":
+                return self.tools()
             name = {"search": "query"}.get(self.path.strip("/"), self.path.strip("/"))
             if name not in TOOLS:
                 return self.answer(404, {"error": "not found"})
@@ -76,35 +78,51 @@ def http_server(engine: Engine, host: str = "127.0.0.1", port: int = 8181) -> Th
             except (ValueError, KeyError, TypeError, AttributeError) as e:
                 self.answer(400, {"error": str(e)})
 
+        def tools(self) -> None:
+            """The tool server's messages, one or a list of them in a request; notifications alone get an empty 202."""
+            try:
+                sent = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)))
+                answers = [a for a in (tool_answer(engine, m) for m in (sent if isinstance(sent, list) else [sent])) if a is not None]
+            except (ValueError, AttributeError) as e:
+                return self.answer(400, {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": str(e)}})
+            if answers:
+                return self.answer(200, answers if isinstance(sent, list) else answers[0])
+            self.send_response(202)
+            self.send_header("Content-Length", "0")
+            self.end_headers()
+
         def log_message(self, *args) -> None:
             pass
 
     return ThreadingHTTPServer((host, port), Handler)
 
 
+def tool_answer(engine: Engine, m: dict) -> dict | None:
+    """The answer to a JSON-RPC message ``initialize``, ``tools/list``, ``tools/call`` or ``resources/read``; None to a notification."""
+    if "id" not in m:
+        return None
+    out: dict = {"jsonrpc": "2.0", "id": m["id"]}
+    p = m.get("params") or {}
+    if m.get("method") == "initialize":
+        out["result"] = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}, "resources": {}}, "serverInfo": {"name": "lodespark", "version": "1"}, "instructions": instructions(engine)}
+    elif m.get("method") == "tools/list":
+        out["result"] = {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": {k: {"type": t} for k, t in ps.items()}}} for n, (d, ps, _) in TOOLS.items()]}
+    elif m.get("method") == "tools/call" and p.get("name") in TOOLS:
+        try:
+            text, wrong = json.dumps(TOOLS[p["name"]][2](engine, p.get("arguments") or {}), ensure_ascii=False, default=str), False
+        except (ValueError, KeyError, TypeError) as e:
+            text, wrong = str(e), True
+        out["result"] = {"content": [{"type": "text", "text": text}], "isError": wrong}
+    elif m.get("method") == "resources/read":
+        d = engine.get(p.get("uri", ""))
+        out["result"] = {"contents": [{"uri": p.get("uri", ""), "mimeType": "text/markdown", "text": d.get("body", "")}]}
+    else:
+        out["error"] = {"code": -32601, "message": "no such method"}
+    return out
+
+
 def tool_server(engine: Engine, source: IO[str] = sys.stdin, sink: IO[str] = sys.stdout) -> None:
-    """JSON-RPC lines: ``initialize``, ``tools/list``, ``tools/call``, ``resources/read``."""
+    """JSON-RPC messages, one a line."""
     for line in source:
-        if not line.strip():
-            continue
-        m = json.loads(line)
-        if "id" not in m:
-            continue  # a notification
-        out: dict = {"jsonrpc": "2.0", "id": m["id"]}
-        p = m.get("params") or {}
-        if m["method"] == "initialize":
-            out["result"] = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}, "resources": {}}, "serverInfo": {"name": "lodespark", "version": "1"}, "instructions": instructions(engine)}
-        elif m["method"] == "tools/list":
-            out["result"] = {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": {k: {"type": t} for k, t in ps.items()}}} for n, (d, ps, _) in TOOLS.items()]}
-        elif m["method"] == "tools/call" and p.get("name") in TOOLS:
-            try:
-                text, wrong = json.dumps(TOOLS[p["name"]][2](engine, p.get("arguments") or {}), ensure_ascii=False, default=str), False
-            except (ValueError, KeyError, TypeError) as e:
-                text, wrong = str(e), True
-            out["result"] = {"content": [{"type": "text", "text": text}], "isError": wrong}
-        elif m["method"] == "resources/read":
-            d = engine.get(p.get("uri", ""))
-            out["result"] = {"contents": [{"uri": p.get("uri", ""), "mimeType": "text/markdown", "text": d.get("body", "")}]}
-        else:
-            out["error"] = {"code": -32601, "message": "no such method"}
-        print(json.dumps(out, ensure_ascii=False), file=sink, flush=True)
+        if line.strip() and (out := tool_answer(engine, json.loads(line))) is not None:
+            print(json.dumps(out, ensure_ascii=False), file=sink, flush=True)

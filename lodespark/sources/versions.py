@@ -1,6 +1,7 @@
 """Tables as versioned parquet directories: each write makes a new one, and a pointer names the current one.
 
-A reader keeps the version it opened. A write that breaks off leaves the pointer as it was.
+A reader keeps the version it opened. A write that breaks off leaves the pointer as it was. A version may grow by parts: each is written
+aside, under a name that readers skip, and renamed when it is whole.
 """
 
 from __future__ import annotations
@@ -33,7 +34,18 @@ class Versions:
         version = self.current(name)
         if version is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}")
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}/{version}")
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds a part to the current version; nothing that is there is written again."""
+        version = self.current(name)
+        if version is None:
+            return self.write(name, df)
+        part = uuid.uuid4().hex
+        aside = f"{self.root}/{name}/{version}/_part-{part}"
+        df.write.parquet(aside)
+        if not self.fs.rename(self.jvm.org.apache.hadoop.fs.Path(aside), self._path(name, version, f"part-{part}")):
+            raise RuntimeError(f"a part of {name} could not be put in place")
 
     def write(self, name: str, df: DataFrame) -> None:
         version = uuid.uuid4().hex

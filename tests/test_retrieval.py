@@ -7,9 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodespark.functions.snippet import intent_terms, numbered_lines, snippet
+from lodespark.functions.snippet import intent_terms, numbered_lines, snippets
 from lodespark.functions.stem import stem
-from lodespark.operators import chunks, fusion, lexical, metrics, vector
+from lodespark.operators import chunks, fusion, lexical, lookup, metrics, models, syntax, vector
 
 
 @pytest.mark.parametrize(
@@ -136,16 +136,24 @@ def test_chunk_at_heading_and_tokens():
     assert chunks.chunk_text(text)[0][1] == "x" * 3000
     assert all(n <= 100 for *_, n in chunks.chunk_by_tokens("a b " * 3000, 100, 15, 20)) and chunks.count_tokens("ab12, c") == 4
     code = "import os\n\n\ndef a():\n    pass\n\n\nclass B:\n    pass\n"
-    assert sorted(chunks.python_breaks(code).values()) == [90.0, 100.0] and chunks.python_breaks("def (") == {}
+    assert sorted(syntax.python_breaks(code).values()) == [90.0, 100.0] and syntax.python_breaks("def (") == {}
 
 
-def test_snippets():
+def test_snippets(spark):
+    def snippet(body, query, pos=None, **o):
+        df = spark.createDataFrame([(body, query, pos)], "body string, query string, pos int")
+        out = df.select(snippets(F.col("body"), F.col("query"), chunk_pos=F.col("pos"), **o).alias("s")).first()["s"]
+        return out and out.asDict()
+
     body = "one\ntwo\nthree target\nfour\nfive\nsix"
     s = snippet(body, "target")
-    assert s["line"] == 3 and s["snippet"] == "@@ -2,4 @@ (1 before, 1 after)\ntwo\nthree target\nfour\nfive" and s["lines_after"] == 1
-    assert snippet(body, "nothing here")["line"] == 1 and snippet("", "x")["line"] == 1
+    assert s["line"] == 3 and s["snippet"] == "@@ -2,4 @@ (1 before, 1 after)\ntwo\nthree target\nfour\nfive" and s["lines_after"] == 1 and s["snippet_lines"] == 4
+    assert snippet(body, "nothing here")["line"] == 1 and snippet("", "x")["line"] == 1 and snippet(body, None)["line"] == 1 and snippet(None, "x") is None
     assert snippet("a " * 600, "a")["snippet"].endswith("...") and snippet(body, "zz", intent="the five")["line"] == 5
-    assert snippet("x\n" * 200 + "target\n" + "y\n" * 200, "target", chunk_pos=380)["line"] == 201
+    assert snippet(body, "SIX")["snippet"] == "@@ -5,2 @@ (4 before, 0 after)\nfive\nsix"
+    assert snippet("x\n" * 200 + "target\n" + "y\n" * 200, "target", 380)["line"] == 201
+    # A chunk that shows only blanks: the whole text is searched.
+    assert snippet("target\n" + "\n" * 6000, "target", 3000, chunk_len=1000)["line"] == 1
     assert intent_terms("What is the (API) of SQL, please?") == ["api", "sql", "please"]
 
 
@@ -184,3 +192,79 @@ def test_expansion_scores(spark):
     g = spark.createDataFrame([("q", "lex", "the red harbour ferry"), ("q", "lex", "blue bridge")], "query_id string, type string, text string")
     out = {r["type"]: r for r in metrics.expansion_scores(p, g, 0.4).collect()}
     assert (out["lex"]["precision"], out["lex"]["recall"]) == (0.5, 0.5) and out["vec"]["precision"] == 0 and out["overall"]["precision"] == pytest.approx(1 / 3)
+
+
+SOURCES = {
+    "a.ts": (
+        "import x from 'y';\n// class No {}\n@deco\nexport class A extends B {\n  private async run(a: number): Promise<void> {\n    if (a) { call(a); }\n    for (const x of y) {\n    }\n  }\n  get size() {\n    return 1;\n  }\n}\ninterface I {\n  a: string;\n}\n"
+        "export type T = string | number;\nenum E { A }\nconst f = async (a) => {\n  return `class X {`;\n};\nexport default function g() {}\nconst plain = 3;\nconst call2 = g();\n",
+        {"@deco": 100, "  private async run": 90, "  get size": 90, "interface I": 100, "export type": 90, "enum E": 80, "const f": 90, "export default": 90},
+    ),
+    "b.go": ("package a\n\nimport (\n\t\"fmt\"\n)\n\n/* func no() {} */\ntype S struct {\n\ta int\n}\n\nfunc (s *S) run() {\n\tx := `func no() {`\n}\n", {"import": 60, "type S": 80, "func (s": 90}),
+    "c.rs": (
+        "use std::io;\npub(crate) mod m {\n    #[derive(Debug)]\n    pub struct S<'a> { x: &'a str }\n    impl<'a> S<'a> {\n        pub async fn run(&self) -> char { '{' }\n    }\n}\npub trait T {}\nenum E { A }\ntype X = u8;\nconst fn k() {}\nlet s = r#\"fn no() {\"#;\n",
+        {"pub(crate) mod": 100, "    #[derive": 100, "    impl<": 100, "        pub async fn": 90, "pub trait": 100, "enum E": 80, "type X": 80, "const fn": 90},
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SOURCES))
+def test_declarations(name):
+    text, want = SOURCES[name]
+    got = syntax.breaks_for(name)(text)
+    assert {text[p + 1 :].split("\n")[0]: s for p, s in got.items()} == {next(x for x in text.split("\n") if x.startswith(w)): s for w, s in want.items()}
+    assert syntax.breaks_for("a.md") is None and syntax.breaks_for(None) is None and syntax.language_of("x/Y.TSX") == "script" and syntax.breaks_for(name)("{{{ \x00 '") == {}
+
+
+def test_strategies(spark):
+    body = "".join(f"function f{i}() {{\n{'  call();' * 12}\n\n{'  call();' * 12}\n}}\n" for i in range(40))
+    df = spark.createDataFrame([("a", body, "x/a.js"), ("b", body, None), ("c", body, "a.md")], "k string, t string, p string")
+    auto = chunks.chunk_documents(df, "k", "t", strategy="auto", path="p").collect()
+    plain = chunks.chunk_documents(df, "k", "t", path="p").collect()
+    ends = {k: {r["pos"] + len(r["chunk"]) for r in auto if r["key"] == k} for k in "abc"}
+    assert all(body[e : e + 10].startswith("\nfunction") for e in ends["a"] if e < len(body)) and ends["b"] == ends["c"] != ends["a"]
+    assert sorted((r["key"], r["pos"]) for r in plain if r["key"] == "a") == sorted(("a", r["pos"]) for r in auto if r["key"] == "b")
+    with pytest.raises(ValueError):
+        chunks.chunk_documents(df, "k", "t", strategy="tree")
+
+
+def test_folding(spark):
+    words = ["Ệnghỉ", "Άλφα", "йод", "Ångström", "e\u0301te\u0301", "naïve", "ß", "한글", "ﬁ"]
+    got = [r["x"] for r in spark.createDataFrame([(w,) for w in words], "t string").select(lexical.fold(F.col("t")).alias("x")).collect()]
+    assert got == ["enghi", "αλφα", "иод", "angstrom", "ete", "naive", "ß", "한글", "ﬁ"]
+
+
+def test_lines_and_windows(spark):
+    df = spark.createDataFrame([("a\nb\nc",), ("a",), (None,)], "t string")
+    assert [r[0] for r in df.select(lookup.first_lines(F.col("t"), 2)).collect()] == ["a\nb\n\n[... truncated 1 more lines]", "a", None]
+    assert models.within_window("one two, three four five six", 6) == "one two" and models.within_window("one two", 6) == "one two" and models.within_window("x", None) == "x"
+    assert models.token_batches([5, 1, 50, 2, 4], 12, 3) == [[1, 3, 4], [0], [2]] and models.token_batches([], 5, 5) == []
+    o = models.resolve_encoder_options({"dims": 8}, {"LODE_EMBED_BACKEND": "REMOTE", "LODE_EMBED_DIMS": "16", "LODE_EMBED_TIMEOUT_MS": "-3", "LODE_EMBED_PORT": "9000"})
+    assert (o["dims"], o["backend"], o["timeout_ms"], o["url"], o["fail_closed"], o["binary"]) == (8, "remote", 30_000, "http://127.0.0.1:9000", True, True)
+    assert models.resolve_encoder_options()["backend"] == "local" and models.resolve_encoder_options({"binary": False})["binary"] is False
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Ties and several blocks of vectors, against brute force."""
+    monkeypatch.setattr(vector, "ROWS", 7)
+    r = np.random.default_rng(3)
+    x = r.integers(-1, 2, size=(60, 4)).astype(float)  # many equal directions, some zero vectors
+    rows = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vector.nearest(rows, rows.select(F.col("vec_id").alias("query_id"), "embedding"), 5, 4).collect()
+    n = np.sqrt((x * x).sum(1))
+    u = x / np.where(n > 0, n, 1)[:, None]
+    d = 1 - u @ u.T
+    d[:, n == 0] = 1
+    want = {(q, int(i)) for q in range(60) for i in np.lexsort((np.arange(60), np.round(d[q], 12)))[:5]}
+    assert {(g["query_id"], g["vec_id"]) for g in got} == want
+
+
+def test_cells(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(1, 16)) + 0.3 * r.normal(size=(300, 16)), r.normal(size=(200, 16))])
+    rows = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [1.0])], "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(g["query_id"], g["vec_id"]) for g in vector.nearest(rows, asked, 10, 16).collect() if g["query_id"] < 900}
+    near = {(g["query_id"], g["vec_id"]) for g in vector.near_by_cells(rows, asked, 10, 16, n_cells=12, probes=6, per_block=50).collect()}
+    assert len(near & exact) / len(exact) >= 0.9 and len(near) == 10 * len({q for q, _ in near})
+    assert vector.near_by_cells(rows.limit(0), asked, 10, 16).count() == 0

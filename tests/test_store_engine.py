@@ -127,10 +127,10 @@ def test_expansions():
     assert [q.type for q in parse_expansion("lex: a b\nvec: a b", "a b", lexical=False).queries] == ["vec"]
 
 
-def test_formats():
+def test_formats(spark):
     rows = [{"docid": "abc123", "score": 0.98765, "file": "lode://c/a,b.md", "title": 'T "x" & <y>', "context": "all, of it", "body": "one\ntwo"}]
-    assert json.loads(formats.results_text(rows, "json", "two"))[0]["score"] == 0.99
-    assert formats.results_text(rows, "csv", "two").split("\n")[1].startswith('#abc123,0.9877,"lode://c/a,b.md","T ""x"" & <y>","all, of it",2,')
+    assert json.loads(formats.results_text(formats.with_snippets(spark, rows, "two", "json"), "json"))[0]["score"] == 0.99
+    assert formats.results_text(formats.with_snippets(spark, rows, "two", "csv"), "csv").split("\n")[1].startswith('#abc123,0.9877,"lode://c/a,b.md","T ""x"" & <y>","all, of it",2,')
     assert formats.results_text(rows, "files") == '#abc123,0.99,"lode://c/a,b.md","all, of it"' and "&lt;y&gt;" in formats.results_text(rows, "xml") and "**docid:** `#abc123`" in formats.results_text(rows, "md", full=True)
     assert formats.results_text([], "json") == "[]"
     with pytest.raises(ValueError):
