@@ -8,7 +8,8 @@ verified by weighted-shingle similarity: the share of equal words, place by plac
 ``weights``; a similarity of 1 is the same ten words in the same order.
 
 The items are a held-out set, of fixed size; they are taken in blocks of at most ``block_windows`` windows, each
-of which is looked up in one pass over all documents, so nothing that is sent to the executors grows beyond that.
+of which is looked up in one pass over all documents, so nothing that is sent to the executors grows beyond that. A longer item is cut into parts that
+share a window less one word, so that no window is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespark.functions.text import WordHashes, hashed_words, inside, mix
+from lodespark.functions.text import WORD, WordHashes, hashed_words, inside, mix
 from lodespark.session import spread
 
 _BITMAP = 1 << 22
@@ -121,6 +122,14 @@ def _search(index: ItemIndex, similarity: float, weights: np.ndarray):
     return run
 
 
+def _parts(text: str, window: int, most: int) -> Iterator[tuple[str, int]]:
+    """The text, or parts of it, with no more than ``most`` windows each, and how many they have; no window is lost or comes twice."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    for first in range(0, max(len(spans) - window + 1, 0), most):
+        last = min(first + most + window - 1, len(spans))
+        yield text[spans[first][0] : spans[last - 1][1]], last - first - window + 1
+
+
 def leaked_items(
     docs: DataFrame, items: DataFrame, doc_key: str, text: str, item_key: str, item_text: str,
     window: int = 10, radius: int = 1, similarity: float = 1.0, weights: list[float] | None = None, block_windows: int = 200_000,
@@ -129,7 +138,8 @@ def leaked_items(
 
     ``doc_key`` and ``item_key`` are integer columns, ``text`` and ``item_text`` strings; other columns are ignored.
     Null keys and texts, and texts shorter than the window, give no rows. An item that comes twice
-    counts once. ``n_windows`` is the number of places in the document. Empty tables give an empty result.
+    counts once. ``n_windows`` is the number of places in the document (of an item of more than ``block_windows`` windows, by parts of it). Empty
+    tables give an empty result.
     """
     if not 1 <= window <= 15:
         raise ValueError("a window has 1 to 15 words")
@@ -141,11 +151,12 @@ def leaked_items(
     found, part, size = [], [], 0
     flush = lambda: found.append(rows.mapInArrow(_search(ItemIndex(part, window, radius), similarity, w), "doc_id long, item_id long, n_windows long"))
     for r in wanted.toLocalIterator():  # the stated query set, block by block
-        part.append((r["i"], r["t"]))
-        size += len(r["t"]) // 2
-        if size >= block_windows:
-            flush()
-            part, size = [], 0
+        for text_part, n in _parts(r["t"], window, block_windows):
+            if size + n > block_windows:
+                flush()
+                part, size = [], 0
+            part.append((r["i"], text_part))
+            size += n
     if part or not found:
         flush()
     out = found[0]

@@ -57,3 +57,16 @@ def test_similar_windows(spark):
     i = spark.createDataFrame([(7, item)], "item_id long, content string")
     out = leaked_items(d, i, "doc_id", "text", "item_id", "content", radius=20, similarity=0.9).collect()
     assert {x["doc_id"] for x in out} == {1, 2}
+
+
+def test_long_items_are_cut_without_loss(spark):
+    from lodespark.llm.leaks import _parts
+
+    words = [f"w{i}" for i in range(57)]
+    parts = list(_parts(" ".join(words), 10, 7))
+    windows = [p.split()[i : i + 10] for p, n in parts for i in range(n)]
+    assert windows == [words[i : i + 10] for i in range(48)] and all(n <= 7 for _, n in parts) and not list(_parts("a b", 10, 7))
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:12])), (3, "w1 w2")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(words)), (6, " ".join(words[:10])), (7, None), (8, "")], "item_id long, content string")
+    out = sorted(map(tuple, leaked_items(docs, items, "doc_id", "text", "item_id", "content", block_windows=7).collect()))
+    assert out == [(1, 5, 48), (1, 6, 1), (2, 5, 3), (2, 6, 1)]
