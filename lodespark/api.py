@@ -52,7 +52,7 @@ class Engine:
         wins: collections that it lacks are removed. One that is the same as at the last time, by its hash, is skipped.
         """
         if isinstance(config, str):
-            text = self.spark.sparkContext.wholeTextFiles(config).values().first()
+            text = self.spark.read.text(config, wholetext=True).first()["value"]
             if config.endswith((".yml", ".yaml")):
                 import yaml  # only where it is installed
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import struct
+import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -52,6 +55,40 @@ class HashEncoder:
         return out / np.maximum(n, 1e-12)
 
 
+class RemoteEncoder:
+    """An encoder behind HTTP: small requests and answers as JSON, from ``BINARY_FROM`` texts on answers as numbers.
+
+    The request is ``{"texts": [...], "model": ...}``. A binary answer begins with the number of texts and of dimensions (four bytes each, little-endian), and
+    holds that many 32-bit floats, no byte less or more. Whatever else comes raises, so that the batch counts as failed.
+    """
+
+    BINARY_FROM = 16
+
+    def __init__(self, url: str, descriptor: Descriptor, timeout: float = 30.0, binary: bool = True):
+        self.url, self.descriptor, self.timeout, self.binary = url, descriptor, timeout, binary
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        wanted = "application/octet-stream" if self.binary and len(texts) >= self.BINARY_FROM else "application/json"
+        body = json.dumps({"texts": texts, "model": self.descriptor.model}).encode()
+        asked = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Accept": wanted})
+        with urllib.request.urlopen(asked, timeout=self.timeout) as answer:
+            data, kind = answer.read(), answer.headers.get_content_type()
+        x = self.unpacked(data) if kind == "application/octet-stream" else np.asarray(json.loads(data)["embeddings"], np.float32)
+        why = check_vectors(x, len(texts), self.descriptor.dims)
+        if why:
+            raise ValueError(why)
+        return x
+
+    @staticmethod
+    def unpacked(data: bytes) -> np.ndarray:
+        if len(data) < 8:
+            raise ValueError("an answer without its head")
+        count, dims = struct.unpack_from("<ii", data)
+        if count < 0 or dims <= 0 or len(data) != 8 + 4 * count * dims:
+            raise ValueError(f"{len(data)} bytes for {count} vectors of {dims} dimensions")
+        return np.frombuffer(data, "<f4", offset=8).reshape(count, dims)
+
+
 class OverlapScorer:
     """The share of query words in a text, squashed to (0, 1)."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodespark.functions.snippet import snippets
-from lodespark.operators import chunks, expansion_reward, fusion, lexical, metrics, vector
+from lodespark.operators import chunks, expansion_reward, fusion, lexical, metrics, models, vector
 from lodespark.operators.store import bodies
 from lodespark.session import table
 from lodespark.sources import training
@@ -141,6 +141,17 @@ def h13_h16_blend(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "file", F.round("score", 6).alias("score"), "rank")
 
 
+def h11_h16_reranked(spark: SparkSession, d: str) -> DataFrame:
+    """The fused ranks of each source blended with the scores of the stand-in reranker, for one query over the texts; from 0.2 on, the first ten."""
+    fused = h5_h8_fusion(spark, d).select("source", "file", "rank")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.coalesce("text", F.lit("")).alias("chunk"))
+    pairs = fused.select("file").distinct().join(texts, "file").withColumn("query", F.lit("the owner of the schedule, and why"))
+    scores = models.rerank(pairs, models.OverlapScorer()).select("file", F.col("score").alias("rerank"))
+    scored = fused.join(scores, "file").select("source", "file", F.round(fusion.blend(F.col("rank"), F.col("rerank")), 9).alias("score"))
+    out = fusion.final_results(scored, ["source"], "file", "score", 0.2, 10)
+    return out.select("source", "file", F.round("score", 6).alias("score"), "rank")
+
+
 def h14_rank_scores(spark: SparkSession, d: str) -> DataFrame:
     return h5_h8_fusion(spark, d).select("source", "file", F.round(1 / F.col("rank"), 6).alias("score"))
 
@@ -177,6 +188,11 @@ def c4_checked(spark: SparkSession, d: str) -> DataFrame:
     return _checked(spark, d, False, 540, 3600)
 
 
+def c5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the chunks by tokens, of which none has more than 900."""
+    return _checked(spark, d, True, 405, 900)
+
+
 def c4_small_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Bodies within the limit are one chunk each."""
     one = chunks.chunk_documents(bodies(table(spark, d, "content")), "hash", "doc").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("chunk")).alias("n_chars"))
@@ -236,6 +252,11 @@ def r8_expansion_rewards(spark: SparkSession, d: str) -> DataFrame:
     return expansion_reward.rewards(training.latest(table(spark, d, "training_examples")).select("example_id", "query", "output"))
 
 
+def r8_format_and_hyde(spark: SparkSession, d: str) -> DataFrame:
+    """Two parts of the reward: for the kinds of expansions there are, and for the passage."""
+    return r8_expansion_rewards(spark, d).select("example_id", "format", "hyde")
+
+
 def r9_spearman(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").filter("source is not null and text is not null").select("source", F.col("n_chars").alias("a"), F.length(F.regexp_replace("text", "[^ ]", "")).alias("b"))
     return metrics.spearman(rows, "source", "a", "b").select("source", F.round("spearman", 6).alias("spearman"), "n")
@@ -245,8 +266,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         l9_bm25, l1_stemmed_bm25, l6_matches, l1_term_counts, v1_nearest, v8_recall_of_cells, v2_nearest_in_label, v3_v4_best_by_label, v7_multi_query, v9_normalised, v10_recall_at_1, h5_h8_fusion, h6_compat_weights,
-        h7_trace, h13_h16_blend, h14_rank_scores, h1_strong_signal, c4_chunks, c5_token_chunks, c4_checked, c4_small_bodies, h9_best_chunk, h19_snippets, r1_r4_scores, a12_r10_averages, r6_rank_quality,
-        r7_expansion_scores, r8_expansion_rewards, r9_spearman,
+        h7_trace, h13_h16_blend, h11_h16_reranked, h14_rank_scores, h1_strong_signal, c4_chunks, c5_token_chunks, c4_checked, c5_checked, c4_small_bodies, h9_best_chunk, h19_snippets, r1_r4_scores, a12_r10_averages, r6_rank_quality,
+        r7_expansion_scores, r8_expansion_rewards, r8_format_and_hyde, r9_spearman,
     )
 }
 
@@ -315,9 +336,14 @@ SELECT count(*) AS n, round(avg(CASE WHEN found = label THEN 1.0 ELSE 0.0 END),
     "h7_trace": f"""{_LISTS} SELECT source, file, (SELECT string_agg(list_id || ':' || rank, ' ' ORDER BY list_id) FROM R WHERE R.source = K.source AND R.file = K.file) AS contributions, round(base, 6) AS base_score, bonus::DOUBLE AS top_rank_bonus, round(rrf, 6) AS total_score FROM K""",
     "h13_h16_blend": f"""{_LISTS}, E AS (SELECT source, file, rank, (file * 37 % 101) / 100.0 AS y, CASE WHEN rank <= 3 THEN 0.75 WHEN rank <= 10 THEN 0.6 ELSE 0.4 END AS w FROM K WHERE rank <= 40),
 G AS (SELECT source, file, round(w / rank + (1 - w) * y, 9)::DOUBLE AS score FROM E), O AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, file) AS rank FROM G WHERE score >= 0.2)
+SELECT source, file, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM O WHERE rank <= 10""",
+    "h11_h16_reranked": rf"""{_LISTS}, Y AS (SELECT doc_id AS file, 1 / (1 + exp(-6 * (len(list_intersect(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+')), ['the', 'owner', 'of', 'schedule', 'and', 'why'])) / 6.0::DOUBLE - 0.5))) AS y FROM documents),
+E AS (SELECT source, K.file, rank, y, CASE WHEN rank <= 3 THEN 0.75::DOUBLE WHEN rank <= 10 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS w FROM K JOIN Y USING (file) WHERE rank <= 40),
+G AS (SELECT source, file, round(w / rank + (1 - w) * y, 9)::DOUBLE AS score FROM E), O AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, file) AS rank FROM G WHERE score >= 0.2)
 SELECT source, file, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM O WHERE rank <= 10""",
     "h14_rank_scores": f"{_LISTS} SELECT source, file, round(1.0::DOUBLE / rank, 6) AS score FROM K WHERE rank <= 40",
     "c4_checked": "SELECT hash, CAST(max(length(doc)) AS INTEGER) AS n_chars, true AS verbatim, true AS gapless, true AS within_limit FROM content WHERE doc IS NOT NULL AND hash IS NOT NULL GROUP BY hash",
+    "c5_checked": "SELECT hash, CAST(max(length(doc)) AS INTEGER) AS n_chars, true AS verbatim, true AS gapless, true AS within_limit FROM content WHERE doc IS NOT NULL AND hash IS NOT NULL GROUP BY hash",
     "c4_small_bodies": "SELECT hash, CAST(max(length(doc)) AS INTEGER) AS n_chars FROM content WHERE length(doc) <= 3600 AND hash IS NOT NULL GROUP BY hash",
     "h19_snippets": r"""WITH D AS (SELECT doc_id, string_split(text, chr(10)) AS l, list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[\s\p{Z}]+'), lambda t: t <> '') AS q FROM documents WHERE text IS NOT NULL),
 S AS (SELECT doc_id, l, list_transform(l, lambda x: len(list_filter(q, lambda t: contains(lower(x), t)))) AS s FROM D), B AS (SELECT doc_id, l, CAST(list_position(s, list_max(s)) AS INTEGER) AS at_ FROM S),
@@ -341,6 +367,12 @@ F AS (SELECT coalesce(C.type, D.type) AS type, coalesce(p, 0) AS p, coalesce(g,
 S AS (SELECT * FROM H UNION ALL SELECT 'overall', CAST(sum(p) AS BIGINT), CAST(sum(g) AS BIGINT), CAST(sum(m) AS BIGINT), CAST(sum(h) AS BIGINT) FROM H),
 Y AS (SELECT *, coalesce(m::DOUBLE / nullif(p, 0), 0) AS precision, coalesce(h::DOUBLE / nullif(g, 0), 0) AS recall FROM S)
 SELECT type, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, p AS pred_count, g AS golden_count, m AS matched FROM Y""",
+    "r8_format_and_hyde": rf"""WITH T AS (SELECT example_id, query, coalesce(output, []) AS o FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM training_examples WHERE example_id IS NOT NULL) WHERE rn = 1),
+I AS (SELECT example_id, query, {", ".join(rf"list_filter(list_transform(list_filter(o, lambda x: x.type = '{k}' AND x.text IS NOT NULL), lambda x: regexp_replace(x.text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda t: t <> '') AS {k}" for k in ("lex", "vec", "hyde"))} FROM T),
+W AS (SELECT *, hyde[1] AS first, list_filter(regexp_split_to_array(lower(coalesce(hyde[1], '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN ({", ".join(f"'{w}'" for w in sorted(expansion_reward.FREQUENT))})) AS w FROM I),
+R AS (SELECT *, query IS NULL OR len(lex) + len(vec) + len(hyde) = 0 AS failed, coalesce(list_sum(list_transform(list_distinct(w), lambda x: greatest(len(list_filter(w, lambda y: y = x)) - 2, 0) * 2)), 0) AS repeats FROM W)
+SELECT example_id, CASE WHEN failed THEN 0 ELSE 10 + CASE WHEN len(lex) > 0 THEN 10 ELSE 0 END + CASE WHEN len(vec) > 0 THEN 10 ELSE 0 END END AS format,
+ CAST(CASE WHEN failed OR first IS NULL THEN 0 ELSE 5 + CASE WHEN length(first) BETWEEN 50 AND 200 THEN 5 WHEN length(first) < 50 THEN 2 ELSE 0 END + CASE WHEN contains(first, chr(10)) THEN 0 ELSE 5 END + greatest(0, 5 - repeats) END AS INTEGER) AS hyde FROM R""",
     "r9_spearman": """WITH B AS (SELECT source, n_chars AS a, length(regexp_replace(text, '[^ ]', '', 'g')) AS b FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND n_chars IS NOT NULL),
 R AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY a) + (count(*) OVER (PARTITION BY source, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY source ORDER BY b) + (count(*) OVER (PARTITION BY source, b) - 1) / 2.0 AS rb FROM B)
 SELECT source, round(CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END, 6) AS spearman, count(*) AS n FROM R GROUP BY 1""",

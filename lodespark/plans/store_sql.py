@@ -118,6 +118,7 @@ SELECT file, arg_max(name, (length(root), name)) AS collection FROM F JOIN R ON
     "f6_virtual_paths": f"WITH {_D} SELECT id, collection, path FROM D",
     "f7_lengths": f"WITH {_C} SELECT hash, CAST(length(doc) AS INTEGER) AS n_chars, CAST(strlen(doc) AS INTEGER) AS n_bytes FROM C WHERE doc IS NOT NULL",
     "f8_numbered_lines": "SELECT item_id, array_to_string(list_transform(string_split(content, chr(10)), lambda x, i: CAST(i + 9 AS VARCHAR) || ': ' || x), chr(10)) AS numbered FROM eval_items",
+    "f8_numbered_bodies": f"WITH {_C} SELECT hash, array_to_string(list_transform(string_split(doc, chr(10)), lambda x, i: CAST(i + 9 AS VARCHAR) || ': ' || x), chr(10)) AS numbered FROM C",
     "f9_s12_escapes": f"""WITH {_D} SELECT id, {_CSV.format(x='title')} AS csv, replace(replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM D""",
     "s12_csv_rows": f"WITH {_D} SELECT id, '#' || {_DOCID} || ',' || {_CSV.format(x='path')} || ',' || {_CSV.format(x='title')} AS line FROM D WHERE active = 1",
     "f13_age_days": f"""WITH {_D} SELECT id, CAST(date_diff('day', CAST(created_at AT TIME ZONE 'UTC' AS DATE), CAST(modified_at AT TIME ZONE 'UTC' AS DATE)) AS INTEGER) AS days FROM D WHERE modified_at IS NOT NULL AND created_at IS NOT NULL""",

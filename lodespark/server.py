@@ -99,6 +99,8 @@ def http_server(engine: Engine, host: str = "127.0.0.1", port: int = 8181) -> Th
 
 def tool_answer(engine: Engine, m: dict) -> dict | None:
     """The answer to a JSON-RPC message ``initialize``, ``tools/list``, ``tools/call`` or ``resources/read``; None to a notification."""
+    if not isinstance(m, dict):
+        raise ValueError("a message is an object")
     if "id" not in m:
         return None
     out: dict = {"jsonrpc": "2.0", "id": m["id"]}

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -273,6 +274,95 @@ def test_failed_jobs(spark, engine, tmp_path):
     assert e.embed()["status"] == "complete" and e.vectors().count() == 3
 
 
+def stoppable(file):
+    """An encoder that fails for good while a file exists."""
+
+    class Stoppable(models.HashEncoder):
+        def encode(self, texts):
+            if os.path.exists(str(file)):
+                raise RuntimeError("gone")
+            return super().encode(texts)
+
+    return Stoppable(8)
+
+
+def test_jobs_are_stored_by_batch(spark, tmp_path):
+    src, stop = tmp_path / "f", tmp_path / "stop"
+    src.mkdir()
+    e = Engine(spark, str(tmp_path / "s"), encoder=stoppable(stop))
+    e.add_collection("c", str(src))
+    write = lambda some: [(src / f"{i}.md").write_text(f"# T{i}\nbody {i}") for i in some]
+    write(range(6))
+    e.update()
+    assert e.embed(batch_docs=2)["documents"] == 6 and e.vectors().count() == 6
+    parts = set((tmp_path / "s" / "vectors" / e.tables.current("vectors")).iterdir())
+    write(range(6, 8))
+    e.update()
+    assert e.embed()["documents"] == 2 and e.vectors().count() == 8
+    assert parts < set((tmp_path / "s" / "vectors" / e.tables.current("vectors")).iterdir())  # added, not rewritten
+    stop.touch()
+    write(range(8, 14))
+    e.update()
+    out = e.embed(batch_docs=2)
+    assert out["status"] == "failed" and out["chunks"] < 6 and e.vectors().count() == 8  # stopped early
+    stop.unlink()
+    # A job that broke off between its two writes: the texts are pending still, and nothing comes twice.
+    e.tables.append("expected", spark.createDataFrame([(h["hash"], e._fingerprint(), 1) for h in e.documents().select("hash").collect()], "hash string, fingerprint string, total_chunks long"))
+    assert e.embed(batch_docs=3)["documents"] == 6 and e.vectors().count() == 14 and e.vectors().select("hash", "seq").distinct().count() == 14
+    assert e.embed()["documents"] == 0
+
+
+def test_configurations(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.add_collection("old", "/nowhere")
+    config = {"collections": {"a": {"path": "/x", "ignore": ["b/**"], "context": {"/": "All"}}, "b": {"path": "/y", "includeByDefault": False}}, "global_context": "G"}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    assert e.sync_config(str(tmp_path / "c.json")) and [c["name"] for c in e.collections()] == ["a", "b"] and e.global_context == "G"
+    assert not e.sync_config(config) and e.sync_config({"collections": {"b": {"path": "/y"}}}) and [c["name"] for c in e.collections()] == ["b"]
+
+
+def test_older_cache_keys(spark):
+    pairs = spark.createDataFrame([("q", "f1", "one q"), ("q", "f2", "one q"), ("q", "f3", "two"), ("q", "f4", "q")], "query string, file string, chunk string")
+    key = lambda *parts: hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    cache = spark.createDataFrame([(key("overlap", "q", "one q"), 0.1), (key("overlap", "q", "f1", "one q"), 0.2), (key("overlap", "q", "f3", "two"), 0.3)], "cache_key string, score double")
+    out = {r["file"]: r["score"] for r in models.rerank(pairs, models.OverlapScorer(), cache).collect()}
+    assert (out["f1"], out["f2"], out["f3"]) == (0.1, 0.1, 0.3) and out["f4"] > 0.9
+
+
+def test_remote_encoder():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from lodespark.schema import Descriptor
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["texts"]
+            x = np.array([[len(t), 1] for t in texts], "<f4")
+            raw = self.headers["Accept"] == "application/octet-stream"
+            data = np.array(x.shape, "<i4").tobytes() + x.tobytes() if raw else json.dumps({"embeddings": x.tolist()}).encode()
+            self.send_response(200)
+            self.send_header("Content-Type", self.headers["Accept"])
+            self.end_headers()
+            self.wfile.write(data[:-1] if "cut" in texts else data)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}"
+    remote = models.RemoteEncoder(url, Descriptor("remote", "m", 2))
+    for n in (1, 15, 16, 40):
+        assert remote.encode(["x" * i for i in range(n)]).tolist() == [[i, 1] for i in range(n)]
+    for texts in (["cut"] * 20, ["cut"]):
+        with pytest.raises(ValueError):
+            remote.encode(texts)
+    with pytest.raises(ValueError):
+        models.RemoteEncoder(url, Descriptor("remote", "m", 3)).encode(["a"])
+    server.shutdown()
+
+
 def test_streams(spark, tmp_path):
     from datetime import datetime as dt
 
@@ -317,7 +407,10 @@ def test_services(spark, tmp_path):
     assert json.load(urllib.request.urlopen(base + "/health")) == {"status": "ok"}
     assert ask("/query", {"searches": [{"type": "lex", "query": "copper"}], "limit": 3})["results"][0]["file"] == "lode://c/a.md"
     assert ask("/get", {"name": "a.md"})["results"]["body"].startswith("# A")
-    for path, body, code in (("/query", {}, 400), ("/nothing", {}, 404), ("/query", {"searches": [{"type": "lex", "query": 'a "b'}]}, 400)):
+    assert ask("/mcp", {"jsonrpc": "2.0", "id": 7, "method": "tools/list"})["id"] == 7
+    assert [m["id"] for m in ask("/mcp", [{"id": 1, "method": "tools/call", "params": {"name": "status"}}, {"method": "notifications/x"}, {"id": 2, "method": "x"}])] == [1, 2]
+    assert urllib.request.urlopen(urllib.request.Request(base + "/mcp", b'{"method": "notifications/initialized"}')).status == 202
+    for path, body, code in (("/mcp", "x", 400), ("/query", {}, 400), ("/nothing", {}, 404), ("/query", {"searches": [{"type": "lex", "query": 'a "b'}]}, 400)):
         with pytest.raises(urllib.error.HTTPError) as err:
             ask(path, body)
         assert err.value.code == code
