@@ -288,7 +288,7 @@ _EMAIL = re.compile(
 _ABBREVIATED = re.compile(r"\b(?:Rd|Ave|Ln|St|Dr|Ct|Blvd|Sq|Str)$", re.I)
 _PARTICLES = {"de", "la", "del", "von", "van", "der", "den", "di", "da", "dos", "du", "le", "el", "al", "bin", "ter", "zu"}
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-LEAST = {"N": 0.1, "A": 1.0}  #: log odds a token that a span of a kind needs at least
+LEAST = {"N": 0.1, "A": 0.75}  #: log odds a token that a span of a kind needs at least
 
 
 def _whole_words(text: str, a: int, b: int) -> tuple[int, int]:

@@ -588,6 +588,13 @@ Saludos,
 {"{w}": "{S}", "{w}": "{L}"}
   "{w}": "{a}",
   "{w}.{w}": {n}
+  "{w}": "{w}-{n}",
+  "{w}.{w}": "{w}_{n}"
+{"{w}": "{w}-{d3}", "{w}": "{w}"}
+{w}-{n}
+{w}-{d3}: {a}
+- {w}-{n} {past} the {w}
+The {w} {w}-{d2} is {a}.
 {w}: {n}
 {w} = {n}
 const {w} = {w}.{v}({n});
