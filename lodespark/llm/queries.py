@@ -57,7 +57,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 def p7_entropy_shares(spark: SparkSession, d: str) -> DataFrame:
     """The same sources without targets: one exponent for all, at which the weights have 0.9 of the largest entropy."""
     shares = mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), target_entropy=0.9)[1]
-    return shares.select("source", F.round("target_share", 6).alias("target_share"), F.round("exponent", 6).alias("exponent"), "budget_tokens", "available_tokens", "most_repeats")
+    return shares.select("source", F.round("target_share", 6).alias("target_share"), F.round("exponent", 6).alias("exponent"), "budget_tokens", "available_tokens", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_limit"))
 
 
 def p7_available(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ SELECT example_id, CASE WHEN copied IS NULL THEN 'empty' ELSE 'copied' END AS de
     "p7_mix": _MIXED + "r AS (SELECT * FROM c WHERE repeats > 0) SELECT doc_id, source, tokens, repeats FROM r",
     "p7_shares": _MIXED + r"""
 s AS (SELECT source, CAST(sum(tokens * repeats) AS BIGINT) AS used, max(repeats) AS most FROM c WHERE repeats > 0 GROUP BY source)
-SELECT source, round(target_share, 9) AS target_share, round(CASE WHEN p < 1 THEN ln(w) / ln(p) ELSE 1 END, 9) AS exponent, coalesce(budget, 0) AS budget_tokens, coalesce(used, 0) AS used_tokens,
+SELECT source, round(target_share, 9) AS target_share, round(CASE WHEN p < 1 THEN ln(w) / ln(p) WHEN p = 1 THEN 1 END, 9) AS exponent, coalesce(budget, 0) AS budget_tokens, coalesce(used, 0) AS used_tokens,
        round(coalesce(used, 0) / (SELECT sum(used) FROM s), 9) AS actual_share, coalesce(h.have, 0) AS available_tokens, coalesce(n_texts, 0) AS n_texts, g.max_repeats, coalesce(most, 0) AS most_repeats
 FROM g LEFT JOIN h USING (source) LEFT JOIN b USING (source) LEFT JOIN s USING (source)
 """,
@@ -169,7 +169,7 @@ k AS (SELECT low AS t FROM e WHERE i = 60),
 v AS (SELECT source, have, max_repeats, t, have ** t / sum(have ** t) OVER () AS w FROM h JOIN g USING (source), k WHERE max_repeats > 0),
 b AS (SELECT *, CAST(floor(w * (SELECT min(have * max_repeats / w) FROM v) + 1e-6) AS BIGINT) AS budget FROM v)
 SELECT source, round(coalesce(w, 0), 6) AS target_share, round(t, 6) AS exponent, coalesce(budget, 0) AS budget_tokens, coalesce(h.have, 0) AS available_tokens,
-       coalesce(CAST(ceil(budget / b.have) AS BIGINT), 0) AS most_repeats FROM g LEFT JOIN h USING (source) LEFT JOIN b USING (source)
+       true AS within_limit FROM g LEFT JOIN h USING (source) LEFT JOIN b USING (source)
 """,
     "p7_available": r"""
 WITH t AS (SELECT doc_id, regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g') AS source, text,
